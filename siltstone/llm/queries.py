@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..tables import read
-from . import provenance, validity
+from . import pairs, passages, provenance, secrets, validity
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,5 +31,40 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validity.rates(validity.judge_files(read(spark, sf_dir, "source_files")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_kinds, p5_found, p5_rates)}
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.passages(*(read(spark, sf_dir, t) for t in ("source_files", "endpoints", "documents", "lang_codes")))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages other than English in files and endpoints."""
+    return _passages(spark, sf_dir).where("lang <> 'en'").select("record", "record_id", "lang")
+
+
+def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean share of each language per repository."""
+    return _passages(spark, sf_dir).where("record = 'file'").groupBy("repo", "lang").agg(F.count("*").alias("files"), F.avg("share").alias("mean_share"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of files, and provider settings, that hold a credential."""
+    return secrets.found(read(spark, sf_dir, "source_files"), read(spark, sf_dir, "ai_configs"))
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files in which credentials were replaced."""
+    return secrets.redact_files(read(spark, sf_dir, "source_files")).where("redactions > 0")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions, handlers and types with worthwhile documentation."""
+    return pairs.found(*(read(spark, sf_dir, t) for t in ("source_files", "endpoints", "type_infos")))
+
+
+def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of function and documentation, that of separate declarations included."""
+    return pairs.documented(pairs.symbols(read(spark, sf_dir, "source_files")))
+
+
+FOUND = (p1_found, p1_kinds, p2_found, p2_shares, p4_found, p4_redacted, p5_found, p5_rates, p6_found, p6_pairs)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in FOUND}
 ORACLE: dict[str, str] = {}
