@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import read
-from . import pairs, passages, provenance, secrets, validity
+from . import mixing, packing, pairs, passages, profiles, provenance, secrets, validity
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,36 @@ def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.documented(pairs.symbols(read(spark, sf_dir, "source_files")))
 
 
-FOUND = (p1_found, p1_kinds, p2_found, p2_shares, p4_found, p4_redacted, p5_found, p5_rates, p6_found, p6_pairs)
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, or piece of one, in its container, for each kind of container."""
+    return packing.pack_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "containers"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers used against the least possible."""
+    return packing.report(p7_containers(spark, sf_dir))
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The selected documents and their copies."""
+    return mixing.mix(*(read(spark, sf_dir, t) for t in ("documents", "mix_targets", "lang_codes")))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return mixing.shares(p8_mixture(spark, sf_dir), read(spark, sf_dir, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of documents without the right label, and of the segments of mixed ones."""
+    return profiles.found(read(spark, sf_dir, "documents"), read(spark, sf_dir, "lang_codes"))
+
+
+def p9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and confidence of every document and segment."""
+    return profiles.labels(read(spark, sf_dir, "documents"), read(spark, sf_dir, "lang_codes"))
+
+
+FOUND = (p1_found, p1_kinds, p2_found, p2_shares, p4_found, p4_redacted, p5_found, p5_rates, p6_found, p6_pairs, p7_containers, p7_report, p8_mixture, p8_shares, p9_found, p9_labels)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in FOUND}
 ORACLE: dict[str, str] = {}
