@@ -17,7 +17,7 @@ from . import prose
 #: Other standards' codes of the languages of ``lang_codes``. Fixed values.
 OTHER_CODES = {"eng": "en", "kor": "ko", "jpn": "ja", "zho": "zh", "chi": "zh", "deu": "de", "ger": "de", "fra": "fr", "fre": "fr", "spa": "es", "por": "pt", "nld": "nl", "dut": "nl", "rus": "ru"}
 #: Labelled documents per language that the models are fitted on.
-PER_LANG = 400
+PER_LANG = 150
 LINES_PER_DOC = 12
 
 
@@ -35,7 +35,7 @@ def code_of(label: Column, names: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(table, plain), F.try_element_at(table, F.regexp_extract(plain, "^([a-z]+)[-_]", 1)))
 
 
-FENCE = re.compile(r"^[ \t]*(```|~~~)")
+FENCE = re.compile(r"^[ \t>]*(?:(?:[-*+]|\d+[.)])[ \t]+)?(`{3,}|~{3,})")
 TABLE = re.compile(r"^[ \t]*\|.*|^[ \t|:+-]*-{2,}[ \t|:+-]*$")
 LEAD = re.compile(r"^[ \t]*(?:[-*+>]|\d+[.)]|#{1,6})[ \t]+")
 NOISE = re.compile(r"`[^`]*`|<[^<>]*>|https?://\S+|!?\[|\]\([^)]*\)|&\w+;|\*\*|__|[\w.-]+@[\w.-]+|\b\w*[_/.\\]\w[\w./\\]*|\b[a-z]+[A-Z]\w*|\b\w*\d\w*")
@@ -52,7 +52,10 @@ def prose_lines(text: str) -> list[str]:
     for line in lines[start:]:
         m = FENCE.match(line)
         if m:
-            fence = None if fence == m[1] else fence or m[1]
+            if fence is None:
+                fence = m[1]
+            elif m[1][0] == fence[0] and len(m[1]) >= len(fence):
+                fence = None
             continue
         if fence or not line.strip() or TABLE.match(line) or TAG_ONLY.match(line) or re.match(r"(?: {4}|\t)\s*[^\s*+\-\d]", line) and re.search(r"[;{}()=]\s*$", line):
             continue

@@ -58,13 +58,12 @@ def _fit(rows: list[tuple[np.ndarray, int]], k: int, epochs: int) -> np.ndarray:
 
 
 def fit(lines: list[tuple[str, str]], epochs: int = 3) -> Model:
-    """Fit on labelled lines. Lines that the first fit firmly calls another language are labelled wrongly and left out of the second."""
+    """Fit on labelled lines. Lines that a fit on the other half calls another language are labelled wrongly and left out."""
     langs = sorted({c for _, c in lines})
     rows = [(features(t), langs.index(c)) for t, c in lines]
-    first = Model(langs, _fit(rows, len(langs), 2))
+    halves = rows[::2], rows[1::2]
     kept = []
-    for (f, y), (t, _) in zip(rows, lines, strict=True):
-        p = first.probabilities(t)
-        if p[y] == p.max() or p.max() < 0.8:
-            kept.append((f, y))
-    return Model(langs, _fit(kept, len(langs), epochs))
+    for own, other in (halves, halves[::-1]):
+        w = _fit(other, len(langs), 1)
+        kept += [(f, y) for f, y in own if int(w[f].sum(axis=0).argmax()) == y]
+    return Model(langs, _fit(kept or rows, len(langs), epochs))
