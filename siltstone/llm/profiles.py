@@ -39,10 +39,14 @@ class Profiles:
     def __init__(self, langs: list[str], prototypes: np.ndarray) -> None:
         self.langs, self.prototypes = langs, prototypes
         self._letters: dict[str, np.ndarray] = {}
-        self._dots: dict[str, np.ndarray] = {}
+        self._index: dict[str, int] = {}
+        self._dots = np.zeros((1024, len(langs)), np.float32)
 
     def __getstate__(self) -> dict:
-        return {"langs": self.langs, "prototypes": self.prototypes, "_letters": {}, "_dots": {}}
+        return {"langs": self.langs, "prototypes": self.prototypes}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__init__(**state)
 
     def letter(self, c: str) -> np.ndarray:
         v = self._letters.get(c)
@@ -59,15 +63,20 @@ class Profiles:
 
     def cosines(self, text: str) -> np.ndarray:
         counts = grams(text)
-        total = np.zeros(len(self.langs), np.float32)
-        for g, n in counts.items():
-            d = self._dots.get(g)
-            if d is None:
-                if len(self._dots) > 400_000:
-                    self._dots.clear()
-                d = self._dots[g] = self.prototypes @ self.gram(g).astype(np.float32)
-            total += n * d
-        norm = np.sqrt(DIMENSIONS * sum(n * n for n in counts.values())) or 1.0
+        if len(self._index) > 400_000:
+            self._index.clear()
+        at = []
+        for g in counts:
+            i = self._index.get(g)
+            if i is None:
+                i = self._index[g] = len(self._index)
+                if i == len(self._dots):
+                    self._dots = np.concatenate([self._dots, np.zeros_like(self._dots)])
+                self._dots[i] = self.prototypes @ self.gram(g).astype(np.float32)
+            at.append(i)
+        n = np.fromiter(counts.values(), np.float32, len(counts))
+        total = n @ self._dots[at]
+        norm = float(np.sqrt(DIMENSIONS * (n @ n))) or 1.0
         return total / norm
 
 
