@@ -15,6 +15,7 @@ table gives no rows; without any labelled document no passage has a language.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -88,13 +89,29 @@ def label(model: ngram_model.Model, passage: str) -> list[tuple[str, int, float]
     return found
 
 
+#: Short passages whose labels a task keeps; descriptions come again with every snapshot.
+KEPT, KEPT_CHARS = 50_000, 1000
+
+
 def _worker(model: ngram_model.Model) -> Callable:
+    kept: dict[str, list[tuple[str, int]]] = {}
+
+    def labels(passage: str) -> list[tuple[str, int]]:
+        found = kept.get(passage)
+        if found is None:
+            found = [(lang, n) for lang, n, _ in label(model, passage)]
+            if len(passage) <= KEPT_CHARS:
+                if len(kept) >= KEPT:
+                    kept.clear()
+                kept[passage] = found
+        return found
+
     def shares(key: int, repo: str | None, whole: int, texts: list[str]) -> list[tuple]:
         letters: dict[str, int] = {}
         best: dict[str, tuple[int, str]] = {}
-        for t in dict.fromkeys(texts):
-            for lang, n, _ in label(model, t):
-                letters[lang] = letters.get(lang, 0) + n * texts.count(t)
+        for t, times in Counter(texts).items():
+            for lang, n in labels(t):
+                letters[lang] = letters.get(lang, 0) + n * times
                 best[lang] = max(best.get(lang, (0, "")), (n, t))
         return [(key, repo, lang, n / max(1, whole), best[lang][1]) for lang, n in sorted(letters.items())]
 
