@@ -39,6 +39,7 @@ FENCE = re.compile(r"^[ \t>]*(?:(?:[-*+]|\d+[.)])[ \t]+)?(`{3,}|~{3,})")
 TABLE = re.compile(r"^[ \t]*\|.*|^[ \t|:+-]*-{2,}[ \t|:+-]*$")
 LEAD = re.compile(r"^[ \t]*(?:[-*+>]|\d+[.)]|#{1,6})[ \t]+")
 NOISE = re.compile(r"`[^`]*`|<[^<>]*>|https?://\S+|!?\[|\]\([^)]*\)|&\w+;|\*\*|__|[\w.-]+@[\w.-]+|\b\w*[_/.\\]\w[\w./\\]*|\b[a-z]+[A-Z]\w*|\b\w*\d\w*")
+FOUR_LETTERS = re.compile(r"(?:[^\W\d_][\W\d_]*){4}")
 TAG_ONLY = re.compile(r"^[ \t]*(?:</?[A-Za-z!][^<>]*>[ \t]*)+$")
 
 
@@ -60,7 +61,7 @@ def prose_lines(text: str) -> list[str]:
         if fence or not line.strip() or TABLE.match(line) or TAG_ONLY.match(line) or re.match(r"(?: {4}|\t)\s*[^\s*+\-\d]", line) and re.search(r"[;{}()=]\s*$", line):
             continue
         plain = NOISE.sub(" ", LEAD.sub("", line)).strip()
-        if sum(c.isalpha() for c in plain) >= 4:
+        if FOUR_LETTERS.search(plain):
             out.append(plain)
     return out
 

@@ -17,123 +17,196 @@ table gives no rows; without any labelled document nothing gets a language.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import labelled, prose
-from .stages import run_batches
+from .stages import run_blocks
 
 DIMENSIONS = 4096
-GRAM = 3
 #: A line of fewer letters, or whose two best cosines are nearer than this, follows its neighbours.
 LEAST_LETTERS, LEAST_GAP = 12, 0.02
 SCHEMA = "doc_id bigint, label string, segment_no int, lang string, confidence double, letters bigint, segments int"
 
 
+#: Which code points are letters; rarer planes hold none of the languages.
+LETTER = np.array([chr(i).isalpha() for i in range(0x30000)])
+#: Which code points are of Korean, Japanese or Chinese.
+WIDE = np.array([bool(prose.CJK.match(chr(i))) for i in range(0x30000)])
+#: Bound vectors made at once, n-grams and letters kept by a task.
+STEP, MOST_GRAMS, MOST_LETTERS = 1024, 400_000, 8192
+#: Characters of documents that are compared together.
+BLOCK_CHARS = 1 << 17
+
+
+def grams(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(line, n-gram, count) of the lower-case lines, and the letters of each line.
+
+    An n-gram is a number of 21 bits a letter. Of lines with Korean, Japanese or
+    Chinese also the single letters count, as these languages have short words.
+    """
+    chars = np.frombuffer((" " + " \n ".join(lines).lower() + " ").encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    end = chars == 10
+    known = np.minimum(chars, len(LETTER) - 1)
+    letter = LETTER[known]
+    line = np.cumsum(end)
+    letters = np.bincount(line[letter], minlength=len(lines))
+    wide = np.bincount(line[WIDE[known]], minlength=len(lines)) > 0
+    chars = np.where(letter | end, chars, 32)
+    blank = chars == 32
+    keep = np.ones(len(chars), bool)
+    keep[1:] = ~(blank[1:] & blank[:-1])
+    chars, line, end = chars[keep], line[keep], end[keep]
+    whole = ~(end[:-2] | end[1:-1] | end[2:])
+    codes = [((chars[:-2] << 42) | (chars[1:-1] << 21) | chars[2:])[whole]]
+    at = [line[:-2][whole]]
+    single = wide[line] & ~end & (chars != 32)
+    codes.append(chars[single])
+    at.append(line[single])
+    code, place = np.unique(np.concatenate(codes), return_inverse=True)
+    pair, n = np.unique(np.concatenate(at) * max(1, len(code)) + place, return_counts=True)
+    return pair // max(1, len(code)), code[pair % max(1, len(code))], n, letters
+
+
 class Profiles:
     """Prototypes of the languages, and the dot products of n-grams with them."""
 
     def __init__(self, langs: list[str], prototypes: np.ndarray) -> None:
         self.langs, self.prototypes = langs, prototypes
-        self._letters: dict[str, np.ndarray] = {}
-        self._index: dict[str, int] = {}
+        self._letters: dict[int, np.ndarray] = {}
+        self._index: dict[int, int] = {}
         self._dots = np.zeros((1024, len(langs)), np.float32)
 
-    def __getstate__(self) -> dict:
-        return {"langs": self.langs, "prototypes": self.prototypes}
+    def __reduce__(self) -> tuple:
+        return _kept, (self.langs, self.prototypes)
 
-    def __setstate__(self, state: dict) -> None:
-        self.__init__(**state)
-
-    def letter(self, c: str) -> np.ndarray:
+    def letter(self, c: int) -> np.ndarray:
         v = self._letters.get(c)
         if v is None:
-            v = self._letters[c] = np.random.default_rng(ord(c)).integers(0, 2, DIMENSIONS, np.int8) * np.int8(2) - np.int8(1)
+            if len(self._letters) > MOST_LETTERS:
+                self._letters.clear()
+            v = self._letters[c] = np.random.default_rng(c).integers(0, 2, DIMENSIONS, np.int8) * np.int8(2) - np.int8(1)
         return v
 
-    def gram(self, g: str) -> np.ndarray:
-        """Bound vector of an n-gram: its letters' vectors, each permuted by its place."""
-        out = self.letter(g[-1])
-        for i, c in enumerate(g[:-1]):
-            out = out * np.roll(self.letter(c), len(g) - 1 - i)
-        return out
+    def bound(self, codes: np.ndarray) -> np.ndarray:
+        """Bound vectors of n-grams: their letters' vectors, each permuted by its place."""
+        out = np.stack([self.letter(c) for c in (codes & 0x1FFFFF).tolist()])
+        for place in (1, 2):
+            before = (codes >> (21 * place)) & 0x1FFFFF
+            some = np.flatnonzero(before)
+            if len(some):
+                out[some] *= np.roll(np.stack([self.letter(c) for c in before[some].tolist()]), place, axis=1)
+        return out.astype(np.float32)
 
-    def cosines(self, text: str) -> np.ndarray:
-        counts = grams(text)
-        if len(self._index) > 400_000:
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Rows of the n-grams in the table of dot products; new ones are added."""
+        if len(self._index) > MOST_GRAMS:
             self._index.clear()
-        at = []
-        for g in counts:
-            i = self._index.get(g)
-            if i is None:
-                i = self._index[g] = len(self._index)
-                if i == len(self._dots):
-                    self._dots = np.concatenate([self._dots, np.zeros_like(self._dots)])
-                self._dots[i] = self.prototypes @ self.gram(g).astype(np.float32)
-            at.append(i)
-        n = np.fromiter(counts.values(), np.float32, len(counts))
-        total = n @ self._dots[at]
-        norm = float(np.sqrt(DIMENSIONS * (n @ n))) or 1.0
-        return total / norm
-
-
-def grams(text: str) -> Counter:
-    """N-grams of the lower-case text; of Korean, Japanese and Chinese also pairs, as these have short words."""
-    t = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
-    found = Counter(t[i : i + GRAM] for i in range(len(t) - GRAM + 1))
-    if prose.CJK.search(t):
-        found.update(c for c in t if c != " ")
-    return found
+        index = self._index
+        codes, back = np.unique(codes, return_inverse=True)
+        new = [c for c in codes.tolist() if c not in index]
+        for i in range(0, len(new), STEP):
+            part = np.array(new[i : i + STEP], np.int64)
+            first = len(index)
+            while first + len(part) > len(self._dots):
+                self._dots = np.concatenate([self._dots, np.zeros_like(self._dots)])
+            self._dots[first : first + len(part)] = self.bound(part) @ self.prototypes.T
+            index.update(zip(part.tolist(), range(first, first + len(part)), strict=True))
+        return np.fromiter((index[c] for c in codes.tolist()), np.int64, len(codes))[back]
+
+    def cosines(self, lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cosines of each line with each prototype, and the letters of each line."""
+        line, code, n, letters = grams(lines)
+        total = np.zeros((len(lines), len(self.langs)), np.float64)
+        norm = np.bincount(line, weights=n.astype(np.float64) ** 2, minlength=len(lines)) * DIMENSIONS
+        if len(code):
+            dots = self._dots_of(code) * n[:, None]
+            for k in range(len(self.langs)):
+                total[:, k] = np.bincount(line, weights=dots[:, k], minlength=len(lines))
+        return total / np.sqrt(np.maximum(norm, 1.0))[:, None], letters
+
+    def _dots_of(self, codes: np.ndarray) -> np.ndarray:
+        at = self.places(codes)
+        return self._dots[at]
+
+
+_LAST: list[tuple[bytes, Profiles]] = []
+
+
+def _kept(langs: list[str], prototypes: np.ndarray) -> Profiles:
+    """The profiles that this worker already holds, where they are the same: a later task reuses their n-grams."""
+    mark = prototypes.tobytes()
+    if not _LAST or _LAST[0][0] != mark or _LAST[0][1].langs != langs:
+        _LAST[:] = [(mark, Profiles(langs, prototypes))]
+    return _LAST[0][1]
+
+
+def _vectors(signs: np.ndarray) -> np.ndarray:
+    return np.unpackbits(signs, axis=1).astype(np.float32) * 2 - 1
 
 
 def fit(lines: list[tuple[str, str]]) -> Profiles:
     """Prototypes of labelled lines. Lines that the first prototypes call another language are labelled wrongly and left out of the second."""
     langs = sorted({c for _, c in lines})
-    own = [(grams(t), langs.index(c), t) for t, c in lines]
-    kept = own
+    own = np.array([langs.index(c) for _, c in lines])
+    line, code, n, _ = grams([t for t, _ in lines])
+    codes, at = np.unique(code, return_inverse=True)
     empty = Profiles(langs, np.zeros((len(langs), DIMENSIONS), np.float32))
+    signs = [np.packbits(empty.bound(codes[i : i + STEP]) > 0, axis=1) for i in range(0, len(codes), STEP)]
+    norm = np.sqrt(np.maximum(np.bincount(line, weights=n.astype(np.float64) ** 2, minlength=len(lines)), 1.0))
+    right = np.ones(len(lines), bool)
     for _ in range(2):
-        sums = [Counter() for _ in langs]
-        for g, y, _ in kept:
-            sums[y].update(g)
+        used = right[line]
+        sums = np.bincount(own[line[used]] * len(codes) + at[used], weights=n[used], minlength=len(langs) * len(codes)).reshape(len(langs), -1)
+        w = np.sqrt(sums / np.maximum(sums.sum(axis=1, keepdims=True), 1)).astype(np.float32)
         p = np.zeros((len(langs), DIMENSIONS), np.float32)
-        for y, s in enumerate(sums):
-            total = sum(s.values()) or 1
-            for g, n in s.items():
-                p[y] += np.float32(np.sqrt(n / total)) * empty.gram(g)
+        for i, b in enumerate(signs):
+            p += w[:, i * STEP : i * STEP + len(b)] @ _vectors(b)
         p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-6)
         p -= p.mean(axis=0)
         p /= np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-6)
-        profiles = Profiles(langs, p)
-        kept = [(g, y, t) for g, y, t in own if int(profiles.cosines(t).argmax()) == y]
-    return profiles
-
-
-def lines_of(profiles: Profiles, text: str) -> list[tuple[str, int, float]]:
-    """(language, letters, confidence) of the lines of prose; uncertain lines follow the line before, else the one after."""
-    out: list[list] = []
-    for line in labelled.prose_lines(text):
-        letters = sum(c.isalpha() for c in line)
-        cos = profiles.cosines(line)
-        order = np.argsort(cos)
-        gap = float(cos[order[-1]] - cos[order[-2]]) if len(cos) > 1 else 1.0
-        sure = letters >= (LEAST_LETTERS if not prose.CJK.search(line) else 5) and gap >= LEAST_GAP and prose.is_passage(line)
-        p = np.exp((cos - cos.max()) * 20)
-        out.append([profiles.langs[order[-1]], letters, float(p.max() / p.sum()), sure])
-    known = [x for x in out if x[3]]
-    if not known:
-        # Nothing is certain: the best of all lines together.
-        return [(max(out, key=lambda x: x[1])[0], sum(x[1] for x in out), min(x[2] for x in out))] if out else []
-    last = known[0][0]
-    for x in out:
-        if x[3]:
-            last = x[0]
-        else:
-            x[0] = last
-    return [(x[0], x[1], x[2]) for x in out]
+        dots = np.concatenate([_vectors(b) @ p.T for b in signs])
+        total = np.stack([np.bincount(line, weights=dots[at, k] * n, minlength=len(lines)) for k in range(len(langs))], axis=1)
+        right = (total / norm[:, None]).argmax(axis=1) == own
+    return Profiles(langs, p)
+
+
+def lines_of(profiles: Profiles, texts: list[str]) -> list[list[tuple[str, int, float]]]:
+    """(language, letters, confidence) of each text's lines of prose; uncertain lines follow the line before, else the one after."""
+    lines = [labelled.prose_lines(t) for t in texts]
+    every, letters = profiles.cosines([x for own in lines for x in own])
+    if not len(letters):
+        return [[] for _ in texts]
+    best = every.argmax(axis=1)
+    top = every.max(axis=1)
+    p = np.exp((every - top[:, None]) * 20)
+    sure = (1 / p.sum(axis=1)).tolist()
+    every[np.arange(len(best)), best] = -np.inf
+    gaps = (top - every.max(axis=1)).tolist()
+    best, letters = best.tolist(), letters.tolist()
+    out, at = [], 0
+    for own in lines:
+        found = []
+        for i, line in enumerate(own, at):
+            least = LEAST_LETTERS if line.isascii() or not prose.CJK.search(line) else 5
+            found.append((profiles.langs[best[i]], letters[i], sure[i], gaps[i] >= LEAST_GAP and letters[i] >= least and prose.is_passage(line)))
+        out.append(_settled(found))
+        at += len(own)
+    return out
+
+
+def _settled(lines: list[tuple[str, int, float, bool]]) -> list[tuple[str, int, float]]:
+    """Lines of one text after uncertain ones took their neighbour's language."""
+    last = next((lang for lang, _, _, clear in lines if clear), None)
+    if last is None:
+        # Nothing is certain: the longest line speaks for all.
+        return [(max(lines, key=lambda x: x[1])[0], sum(x[1] for x in lines), min(x[2] for x in lines))] if lines else []
+    out = []
+    for lang, n, p, clear in lines:
+        last = lang if clear else last
+        out.append((last, n, p))
+    return out
 
 
 def segments_of(lines: list[tuple[str, int, float]]) -> list[tuple[str, int, float]]:
@@ -163,12 +236,26 @@ def labels(documents: DataFrame, lang_codes: DataFrame) -> DataFrame:
         return spark.createDataFrame([], SCHEMA)
     profiles = fit(lines)
 
-    def work(doc_id: int, label: str | None, text: str) -> list[tuple]:
-        found = segments_of(lines_of(profiles, text))
-        return [(doc_id, label, i, lang, p, n, len(found) - 1) for i, (lang, n, p) in enumerate(found)]
+    def block(rows: list[tuple]) -> list[tuple]:
+        return [
+            (doc_id, label, i, lang, p, n, len(found) - 1)
+            for (doc_id, label, _), lines in zip(rows, lines_of(profiles, [r[2] for r in rows]), strict=True)
+            for found in [segments_of(lines)]
+            for i, (lang, n, p) in enumerate(found)
+        ]
+
+    def work(rows: list[tuple]) -> list[tuple]:
+        out, part, chars = [], [], 0
+        for row in rows:
+            part.append(row)
+            chars += len(row[2])
+            if chars >= BLOCK_CHARS:
+                out += block(part)
+                part, chars = [], 0
+        return out + block(part)
 
     code = labelled.code_of(F.col("lang"), labelled.names_of(lang_codes))
-    return run_batches(documents.where("text is not null").select("doc_id", code.alias("label"), "text"), work, SCHEMA)
+    return run_blocks(documents.where("text is not null").select("doc_id", code.alias("label"), "text"), work, SCHEMA)
 
 
 def found(documents: DataFrame, lang_codes: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ def without_tags(text: str) -> str:
 
 def is_passage(text: str) -> bool:
     """Whether ``text`` is long enough to be a passage."""
+    if text.isascii():
+        return len(WORD.findall(text)) >= LEAST_WORDS
     return len(CJK.findall(text)) >= LEAST_LETTERS or sum(1 for w in WORD.findall(text) if not CJK.match(w)) >= LEAST_WORDS
 
 

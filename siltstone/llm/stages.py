@@ -17,13 +17,18 @@ SPANS = "array<struct<k:string,a:int,b:int>>"
 
 def run_batches(df: DataFrame, fn: Callable[..., list[tuple]], schema: str) -> DataFrame:
     """Apply ``fn`` to the columns of each row and keep the rows that it gives; by Arrow batch."""
+    return run_blocks(df, lambda rows: [r for values in rows for r in fn(*values)], schema)
+
+
+def run_blocks(df: DataFrame, fn: Callable[[list[tuple]], list[tuple]], schema: str) -> DataFrame:
+    """Apply ``fn`` to the rows of each Arrow batch together and keep the rows that it gives."""
     names = df.columns
     arrow = to_arrow_schema(T.StructType.fromDDL(schema))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(n).to_pylist() for n in names]
-            rows = [r for values in zip(*columns, strict=True) for r in fn(*values)]
+            rows = fn(list(zip(*columns, strict=True)))
             found = list(zip(*rows, strict=True)) if rows else [()] * len(arrow)
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(found, arrow, strict=True)], schema=arrow)
 
