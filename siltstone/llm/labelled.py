@@ -39,10 +39,17 @@ FENCE = re.compile(r"^[ \t>]*(?:(?:[-*+]|\d+[.)])[ \t]+)?(`{3,}|~{3,})")
 TABLE = re.compile(r"^[ \t]*\|.*|^[ \t|:+-]*-{2,}[ \t|:+-]*$")
 LEAD = re.compile(r"^[ \t]*(?:[-*+>]|\d+[.)]|#{1,6})[ \t]+")
 NOISE = re.compile(r"`[^`]*`|<[^<>]*>|https?://\S+|!?\[|\]\([^)]*\)|&\w+;|\*\*|__|[\w.-]+@[\w.-]+|\b\w*[_/.\\]\w[\w./\\]*|\b[a-z]+[A-Z]\w*|\b\w*\d\w*")
+#: Every match of ``NOISE`` holds one of these.
+SIGN = re.compile(r"[`<\[\]&*_@/\\\d]|[a-z][A-Z]|\.\w")
 FOUR_LETTERS = re.compile(r"(?:[^\W\d_][\W\d_]*){4}")
 TAG_ONLY = re.compile(r"^[ \t]*(?:</?[A-Za-z!][^<>]*>[ \t]*)+$")
 
 
+def without_noise(text: str) -> str:
+    """Text with a blank for each piece of markup, address, path or name of code."""
+    return NOISE.sub(" ", text) if SIGN.search(text) else text
+
+
 def prose_lines(text: str) -> list[str]:
     """Lines of prose, without code blocks, tables, front matter, markup."""
     lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
@@ -60,7 +67,7 @@ def prose_lines(text: str) -> list[str]:
             continue
         if fence or not line.strip() or TABLE.match(line) or TAG_ONLY.match(line) or re.match(r"(?: {4}|\t)\s*[^\s*+\-\d]", line) and re.search(r"[;{}()=]\s*$", line):
             continue
-        plain = NOISE.sub(" ", LEAD.sub("", line)).strip()
+        plain = without_noise(LEAD.sub("", line)).strip()
         if FOUR_LETTERS.search(plain):
             out.append(plain)
     return out

@@ -69,7 +69,7 @@ def texts_of(lang: str, text: str, spans: list[tuple[str, int, int]]) -> list[st
 
 def label(model: ngram_model.Model, passage: str) -> list[tuple[str, int, float]]:
     """(language, letters, probability) of the sentences of a passage; sentences too short to judge join the one before."""
-    plain = labelled.NOISE.sub(" ", prose.without_tags(passage))
+    plain = labelled.without_noise(prose.without_tags(passage))
     if not prose.is_passage(plain):
         return []
     parts: list[str] = []
