@@ -33,8 +33,13 @@ def endpoint_key() -> Column:
 
 def endpoint_fingerprint() -> Column:
     """What makes an endpoint another one: handler, return type, set of parameters."""
-    params = F.array_sort(F.array_distinct(F.transform(F.coalesce("parameters", F.array()), lambda p: F.to_json(F.struct(p["name"].alias("n"), p["type"].alias("t"), p["required"].alias("r"))))))
-    return F.xxhash64(F.to_json(F.struct(F.col("handler").alias("h"), F.col("returnType").alias("r"), params.alias("p"))))
+    params = F.transform(F.coalesce("parameters", F.array()), lambda p: _hash(p["name"], p["type"], p["required"]))
+    return _hash(F.col("handler"), F.col("returnType"), F.sort_array(F.array_distinct(params)))
+
+
+def _hash(*values: Column) -> Column:
+    """Hash of values in which a null differs from every value and from a null elsewhere."""
+    return F.xxhash64(*values, F.array(*[v.isNull() for v in values]))
 
 
 def diff_snapshots(rows: DataFrame, project: str = "project", snapshot: str = "snapshot_no", key: str = "key", mark: str = "mark", order: tuple[str, ...] = ("received_at", "row_id")) -> DataFrame:
