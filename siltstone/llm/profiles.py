@@ -172,12 +172,18 @@ def fit(lines: list[tuple[str, str]]) -> Profiles:
     return Profiles(langs, p)
 
 
-def lines_of(profiles: Profiles, texts: list[str]) -> list[list[tuple[str, int, float]]]:
+def lines_of(profiles: Profiles, text: str) -> list[tuple[str, int, float]]:
+    """(language, letters, confidence) of the lines of prose of one text."""
+    return lines_of_all(profiles, [text])[0]
+
+
+def lines_of_all(profiles: Profiles, texts: list[str]) -> list[list[tuple[str, int, float]]]:
     """(language, letters, confidence) of each text's lines of prose; uncertain lines follow the line before, else the one after."""
     lines = [labelled.prose_lines(t) for t in texts]
-    every, letters = profiles.cosines([x for own in lines for x in own])
-    if not len(letters):
+    flat = [x for own in lines for x in own]
+    if not flat:
         return [[] for _ in texts]
+    every, letters = profiles.cosines(flat)
     best = every.argmax(axis=1)
     top = every.max(axis=1)
     p = np.exp((every - top[:, None]) * 20)
@@ -239,7 +245,7 @@ def labels(documents: DataFrame, lang_codes: DataFrame) -> DataFrame:
     def block(rows: list[tuple]) -> list[tuple]:
         return [
             (doc_id, label, i, lang, p, n, len(found) - 1)
-            for (doc_id, label, _), lines in zip(rows, lines_of(profiles, [r[2] for r in rows]), strict=True)
+            for (doc_id, label, _), lines in zip(rows, lines_of_all(profiles, [r[2] for r in rows]), strict=True)
             for found in [segments_of(lines)]
             for i, (lang, n, p) in enumerate(found)
         ]

@@ -87,6 +87,7 @@ def test_profiles_and_segments():
     text = "The service reads the table of the rows.\n\n```\nfor x in y: pass\n```\nDer Dienst liest die Zeilen der Liste.\n"
     assert [s[0] for s in profiles.segments_of(profiles.lines_of(p, text))][1:] == ["en", "de"]
     assert profiles.lines_of(p, "") == [] and profiles.segments_of([]) == []
+    assert profiles.lines_of_all(p, []) == [] and profiles.lines_of_all(p, ["", "| a |", text]) == [[], [], profiles.lines_of(p, text)]
 
 
 def test_prose_lines_leave_code_and_tables_out():
