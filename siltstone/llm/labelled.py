@@ -39,6 +39,15 @@ FENCE = re.compile(r"^[ \t>]*(?:(?:[-*+]|\d+[.)])[ \t]+)?(`{3,}|~{3,})")
 TABLE = re.compile(r"^[ \t]*\|.*|^[ \t|:+-]*-{2,}[ \t|:+-]*$")
 LEAD = re.compile(r"^[ \t]*(?:[-*+>]|\d+[.)]|#{1,6})[ \t]+")
 NOISE = re.compile(r"`[^`]*`|<[^<>]*>|https?://\S+|!?\[|\]\([^)]*\)|&\w+;|\*\*|__|[\w.-]+@[\w.-]+|\b\w*[_/.\\]\w[\w./\\]*|\b[a-z]+[A-Z]\w*|\b\w*\d\w*")
+#: Letters of scripts that put no blanks between words, or particles right behind one.
+UNSPACED = r"\u1100-\u11ff\u3005-\u3007\u3040-\u30ff\u3130-\u318f\u3400-\u4dbf\u4e00-\u9fff\uac00-\ud7a3\uf900-\ufaff\uff66-\uff9f"
+W = rf"[^\W{UNSPACED}]"
+#: ``NOISE`` for texts with such letters: a number, a path, a name or an address ends where they begin.
+NOISE_UNSPACED = re.compile(
+    rf"`[^`]*`|<[^<>]*>|https?://[^\s{UNSPACED}\u3001\u3002\u300c-\u3011\uff01\uff08\uff09\uff0c\uff1a\uff1b\uff1f]+|!?\[|\]\([^)]*\)|&{W}+;|\*\*|__|(?:{W}|[.-])+@(?:{W}|[.-])+"
+    rf"|(?<!{W})(?:(?={W})|(?<=[{UNSPACED}])){W}*[_/.\\]{W}(?:{W}|[./\\])*|(?<!{W})[a-z]+[A-Z]{W}*|(?<!{W}){W}*\d{W}*"
+)
+ANY_UNSPACED = re.compile(rf"[{UNSPACED}]")
 #: Every match of ``NOISE`` holds one of these.
 SIGN = re.compile(r"[`<\[\]&*_@/\\\d]|[a-z][A-Z]|\.\w")
 FOUR_LETTERS = re.compile(r"(?:[^\W\d_][\W\d_]*){4}")
@@ -47,7 +56,9 @@ TAG_ONLY = re.compile(r"^[ \t]*(?:</?[A-Za-z!][^<>]*>[ \t]*)+$")
 
 def without_noise(text: str) -> str:
     """Text with a blank for each piece of markup, address, path or name of code."""
-    return NOISE.sub(" ", text) if SIGN.search(text) else text
+    if not SIGN.search(text):
+        return text
+    return (NOISE_UNSPACED if ANY_UNSPACED.search(text) else NOISE).sub(" ", text)
 
 
 def prose_lines(text: str) -> list[str]:

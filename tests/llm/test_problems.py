@@ -113,3 +113,17 @@ def test_chunks_lex_as_the_whole(spark):
     small = sorted(tuple(r) for r in stages.lexed_files(df, ["file_id"], fn, schema).collect())
     big = sorted(tuple(r) for r in stages.lexed_files(df, ["file_id"], fn, schema, chunk=400).collect())
     assert small == big and len(small) == 2
+
+
+def test_noise_takes_only_the_piece_of_code_out_of_unspaced_text():
+    for text, left in (
+        ("夜間のジョブが出荷を28件ずつまとめて送ります", "夜間のジョブが出荷を 件ずつまとめて送ります"),
+        ("設定はconfig/app.ymlから読み込まれます", "設定は から読み込まれます"),
+        ("此方法读取userId并返回order_items列表", "此方法读取 并返回 列表"),
+        ("请先调用/api/users再查询结果", "请先调用 再查询结果"),
+        ("詳しくはhttps://a.example/xを参照してください", "詳しくは を参照してください"),
+        ("재고는 28건씩 확인하여", "재고는  건씩 확인하여"),
+        ("siehe die Größe2 in straße/weg heute", "siehe die   in   heute"),
+    ):
+        assert labelled.without_noise(text) == left
+    assert labelled.prose_lines("夜間のジョブが28件ずつまとめて送ります\n") == ["夜間のジョブが 件ずつまとめて送ります"]
