@@ -47,10 +47,10 @@ FILLER = re.compile(
     re.I,
 )
 WORD_VALUE = re.compile(r"^[A-Za-z]+(?:[_.-][A-Za-z]+)*$")
-HINT = re.compile(rf"{WORDS}|authorization|bearer|-----BEGIN|://[^\s/]*:|sk-|gh[pousr]_|glpat-|A[KS]IA|AIza|eyJ|xox|npm_|hf_|SG\.|Z2hw|c2st|QUtJ|login|connect|seed|\bkey\b|\\x[0-9a-f]{{2}}\\x", re.I)
 NAMED = re.compile(r"(?:([A-Za-z_$][\w$.-]*)[\"'\]]*\s*(?::\s*[\w<>\[\]?.| ]+)?\s*(?:=>|:=|===?|!==?|[:=])|[\[(,{]\s*([A-Za-z_]\w*)\s*=)\s*(?:new\s+\w+\(|\(|\w{1,2}(?=$)|@)?\s*$")
 CALL = re.compile(r"(?:connect|login|log_in|sign_?in|authenticate|auth|set_?password|setBasicAuth|basic_?auth)\s*\(\s*(?:\"[^\"\n]*\"|'[^'\n]*'|[\w.]+)\s*,\s*$", re.I)
 JOINED = re.compile(r"[\s+.&\\(),]*")
+DIGIT = re.compile(r"\d")
 ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|u\{([0-9a-fA-F]+)\}|(.))", re.S)
 PLAIN = {"n": "\n", "t": "\t", "r": "\r", "\n": ""}
 
@@ -115,18 +115,24 @@ Found = tuple[int, int, str]
 
 def _inside(text: str, base: int, said: bool) -> Iterator[Found]:
     """Credentials within a longer text: tokens, keys, addresses, pairs. Offsets are those of the raw text."""
-    for m in STRONG.finditer(text):
-        if strong(m[0]):
-            yield base + m.start(), base + m.end(), "token"
-    for m in PEM.finditer(text):
-        if strong(m[0]):
-            yield base + m.start(), base + m.end(), "private_key"
-    for m in ADDRESS.finditer(text):
-        if usable(m["v"], 4) and m["v"].lower() not in ("password", "pass"):
-            yield base + m.start("v"), base + m.end("v"), "address"
-    for p in (QUERY, SETTING, PAIR):
+    # Each test before a pattern is a part that all its matches hold.
+    if len(text) >= 12:
+        for m in STRONG.finditer(text):
+            if strong(m[0]):
+                yield base + m.start(), base + m.end(), "token"
+    if "-----BEGIN" in text:
+        for m in PEM.finditer(text):
+            if strong(m[0]):
+                yield base + m.start(), base + m.end(), "private_key"
+    if "://" in text:
+        for m in ADDRESS.finditer(text):
+            if usable(m["v"], 4) and m["v"].lower() not in ("password", "pass"):
+                yield base + m.start("v"), base + m.end("v"), "address"
+    if not DIGIT.search(text):
+        return
+    for p in (QUERY, SETTING, PAIR) if "=" in text else (PAIR,) if ":" in text else ():
         for m in p.finditer(text):
-            if usable(m["v"]) and re.search(r"\d", m["v"]):
+            if usable(m["v"]) and DIGIT.search(m["v"]):
                 yield base + m.start("v"), base + m.end("v"), "pair"
     if said:
         for m in SAID.finditer(text):
@@ -134,16 +140,52 @@ def _inside(text: str, base: int, said: bool) -> Iterator[Found]:
                 yield base + m.start("v"), base + m.end("v"), "said"
 
 
-PAIR_LINE = re.compile(r"^([ ]*)((?:-[ ]+)*)(\"[^\"\n]*\"|'[^'\n]*'|[^\s#:\"'{\[][^:\n]*?)[ ]*:(?:[ ]+|$)(.*)$")
+FLOW = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^']|'')*'|[\[\]{},]|(?<=[\"']):|:(?=[\s,\[\]{}]|$)|\s#[^\n]*|(?:[^\s,\[\]{}:]|:(?![\s,\[\]{}]|$))+(?:[ \t]+(?:[^\s,\[\]{}:#]|:(?![\s,\[\]{}]|$))(?:[^\s,\[\]{}:]|:(?![\s,\[\]{}]|$))*)*", re.S)
+
+
+def _flow(text: str, at: int, names: str) -> tuple[list[tuple[str, int, int, str]], int]:
+    """(key path, from, to, value) of the scalars of a YAML flow collection that opens at ``at``, and its end; no end gives no scalars."""
+    out: list[tuple[str, int, int, str]] = []
+    stack: list[tuple[str, bool]] = []  # path of each open collection, whether it is a mapping
+    key, last = names, None  # the scalar that may turn out to be a key
+    for m in FLOW.finditer(text, at):
+        t = m[0]
+        if t == ":":
+            if last:
+                key = f"{stack[-1][0]}.{last[3]}".lstrip(".")
+                last = None
+        elif t in "[{":
+            stack.append((key, t == "{"))
+        elif t in "]},":
+            if last:
+                out.append(last)
+                last = None
+            if t != ",":
+                key = stack.pop()[0]
+                if not stack:
+                    return out, m.end()
+            key = stack[-1][0]
+        elif not t[0].isspace():
+            quoted = t[0] in "\"'" and len(t) >= 2
+            last = (key, m.start() + quoted, m.end() - quoted, t[1:-1] if quoted else t)
+    return [], at
+
+
+#: An entry of a list, or a flow collection on a line of its own, without a key.
+ITEM_LINE = re.compile(r"^([ ]*)((?:-[ ]+)+(?![&*!|>%@`#-])|(?=[\[{]))(\S.*)$")
+PAIR_LINE = re.compile(r"^([ ]*)((?:-[ ]+)*)(?!-[ ])(\"[^\"\n]*\"|'[^'\n]*'|[^\s#:\"'{\[][^:\n]*?)[ ]*:(?:[ ]+|$)(.*)$")
 
 
 def config_values(lang: str, text: str) -> Iterator[tuple[str, int, int, str]]:
     """(key path, from, to, value) of every scalar in a YAML or JSON text."""
     path: list[tuple[int, str]] = []
     if lang == "yaml":
-        pos = 0
+        pos = after = 0
         block: tuple[int, int, str] | None = None  # indent, start, path
         for line in text.split("\n"):
+            if pos < after:  # within a flow collection over several lines
+                pos += len(line) + 1
+                continue
             raw, indent = line.rstrip("\r"), len(line) - len(line.lstrip(" "))
             if block and raw.strip() and indent <= block[0]:
                 yield block[2], block[1], pos - 1, text[block[1] : pos - 1]
@@ -156,12 +198,24 @@ def config_values(lang: str, text: str) -> Iterator[tuple[str, int, int, str]]:
                 path.append((level, m[3].strip("\"'")))
                 names, value = ".".join(k for _, k in path), m[4].rstrip()
                 a = pos + m.start(4)
-                if re.match(r"[|>][+-]?\d?\s*$", value):
+            elif item := None if block else ITEM_LINE.match(raw):
+                # An entry without a key stands under the key of its list.
+                while path and path[-1][0] > len(item[1]):
+                    path.pop()
+                names, value = ".".join(k for _, k in path), item[3].rstrip()
+                a = pos + item.start(3)
+            else:
+                value = ""
+            if value:
+                if value[0] in "[{" and not value.startswith("{{") and (flow := _flow(text, a, names))[1] > a:
+                    yield from flow[0]
+                    after = flow[1]
+                elif re.match(r"[|>][+-]?\d?\s*$", value):
                     block = (indent, pos + len(line) + 1, names)
-                elif value and value[0] in "\"'":
+                elif value[0] in "\"'":
                     end = value.find(value[0], 1)
                     yield names, a + 1, a + (end if end > 0 else len(value)), value[1 : end if end > 0 else None]
-                elif value:
+                else:
                     value = re.split(r"\s#", value)[0].rstrip()
                     yield names, a, a + len(value), value
             pos += len(line) + 1
@@ -182,6 +236,13 @@ def config_values(lang: str, text: str) -> Iterator[tuple[str, int, int, str]]:
             yield ".".join([*filter(None, stack), key]), m.start(1), m.end(1), unescape(m[1])
 
 
+def _by_name(text: str, at: int) -> bool:
+    """Whether a literal at ``at`` stands under a sensitive name, or as the password of a call."""
+    before = re.sub(r"\b[fbrFBR]$", "", text[max(0, at - 160) : at].rpartition("\n")[2])
+    name = NAMED.search(before)
+    return bool(name and sensitive(name[1] or name[2]) or CALL.search(before))
+
+
 def find(lang: str, text: str, spans: list[tuple[str, int, int]]) -> list[list[tuple[int, int, str]]]:
     """Credentials of a text in order, each as its pieces (from, to, kind)."""
     out: list[list[Found]] = []
@@ -222,11 +283,8 @@ def find(lang: str, text: str, spans: list[tuple[str, int, int]]) -> list[list[t
             raw = "".join(text[p:q] for p, q in pieces)
             if len(raw) >= 4:
                 value = unescape(raw)
-                before = re.sub(r"\b[fbrFBR]$", "", text[max(0, a - 160) : a].rpartition("\n")[2])
-                name = NAMED.search(before)
-                by_name = name and sensitive(name[1] or name[2]) or CALL.search(before)
                 plain = decoded(value)
-                whole = by_name and usable(value, 6) or plain and strong(plain) or (m := HEADER.match(value)) and usable(m["v"], 12) and re.search(r"\d", m["v"])
+                whole = usable(value, 6) and _by_name(text, a) or plain and strong(plain) or (m := HEADER.match(value)) and usable(m["v"], 12) and re.search(r"\d", m["v"])
                 if whole:
                     out.append([(p, q, "named") for p, q in pieces])
                 elif j - i == 1 and value == raw:
@@ -260,13 +318,11 @@ def redact(text: str, found: list[list[Found]]) -> str:
 
 
 def _file(file_id: int, repo: str, lang: str, text: str, spans: list, end: str) -> list[tuple]:
-    if not HINT.search(text):
-        return []
     return [(file_id, repo, text.count("\n", 0, c[0][0]) + 1, len(text[: c[0][0]].encode("utf-8", "replace")), len(text[: c[-1][1]].encode("utf-8", "replace")), c[0][2]) for c in find(lang, text, spans)]
 
 
 def _redacted(file_id: int, lang: str, text: str, spans: list, end: str) -> list[tuple]:
-    found = find(lang, text, spans) if HINT.search(text) else []
+    found = find(lang, text, spans)
     return [(file_id, redact(text, found), len(found))]
 
 

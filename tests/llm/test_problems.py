@@ -127,3 +127,26 @@ def test_noise_takes_only_the_piece_of_code_out_of_unspaced_text():
     ):
         assert labelled.without_noise(text) == left
     assert labelled.prose_lines("夜間のジョブが28件ずつまとめて送ります\n") == ["夜間のジョブが 件ずつまとめて送ります"]
+
+
+def test_no_file_is_skipped_for_want_of_a_hint():
+    for lang, text in (
+        ("ts", 'if (this.pin === "tofu-Morchel4008#") {}\n'),
+        ("ts", 'const hmacKey = "tofu-Morchel4008#";\n'),
+        ("py", 'signing_key = "tofu-Morchel4008#"\n'),
+        ("py", 'x = "gh" + "p_n5ctRmTuBDgBuV0LzLv9arT0U3QDRS"\n'),
+        ("js", f'const x = "{b"AIzaSyD4n5ctRmTuBDgBuV0LzLv9arT0U3QDR".hex()}";\n'),
+    ):
+        spans, end = lexing.lex(lang, text)
+        assert [r[2] for r in secrets._file(1, "r", lang, text, spans, end)] == [1], text
+        assert "REDACTED" in secrets._redacted(1, lang, text, spans, end)[0][1]
+
+
+def test_list_entries_and_flow_scalars_of_settings():
+    text = "db: {user: app, password: Lantern9786!x, 'port': 5}\nsecrets:\n  - plain\n  - Morchel4008#tofu # old\nother:\n  - {token: \"Hazel77-Kernel!\",\n     list: [a, b]}\nlast: {{ .Values.password2 }}\npin:\n- Walnut31!x\n"
+    assert [(n, v) for n, _, _, v in secrets.config_values("yaml", text)] == [
+        ("db.user", "app"), ("db.password", "Lantern9786!x"), ("db.port", "5"), ("secrets", "plain"), ("secrets", "Morchel4008#tofu"),
+        ("other.token", "Hazel77-Kernel!"), ("other.list", "a"), ("other.list", "b"), ("last", "{{ .Values.password2 }}"), ("pin", "Walnut31!x"),
+    ]
+    assert all(text[a:b] == v for _, a, b, v in secrets.config_values("yaml", text))
+    assert credentials("yaml", text)[0] == [1, 4, 6, 10]
