@@ -15,7 +15,6 @@ table gives no rows; without any labelled document no passage has a language.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -28,7 +27,7 @@ from .stages import lexed_files, run_batches
 LEAST_PROBABILITY = 0.5
 SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\s/\s|\n\s*\n|\s\|\s")
 JOINED = re.compile(r"[\s+.&\\(),]*")
-SCHEMA = "record_id bigint, repo string, lang string, share double, passage string"
+SCHEMA = "record_id bigint, repo string, chars int, passage_no int, lang string, probability double, letters int, text string"
 
 
 def texts_of(lang: str, text: str, spans: list[tuple[str, int, int]]) -> list[str]:
@@ -93,29 +92,32 @@ def label(model: ngram_model.Model, passage: str) -> list[tuple[str, int, float]
 KEPT, KEPT_CHARS = 50_000, 1000
 
 
-def _worker(model: ngram_model.Model) -> Callable:
-    kept: dict[str, list[tuple[str, int]]] = {}
+def languages(found: list[tuple[str, int, float]]) -> list[tuple[str, float, int]]:
+    """(language, probability, letters) of a passage out of its sentences; the probability is their mean by letters."""
+    sums: dict[str, tuple[int, float]] = {}
+    for lang, n, p in found:
+        letters, weight = sums.get(lang, (0, 0.0))
+        sums[lang] = letters + n, weight + n * p
+    return [(lang, w / max(1, n), n) for lang, (n, w) in sorted(sums.items())]
 
-    def labels(passage: str) -> list[tuple[str, int]]:
+
+def _worker(model: ngram_model.Model, with_text: bool) -> Callable:
+    kept: dict[str, list[tuple[str, float, int]]] = {}
+
+    def labels(passage: str) -> list[tuple[str, float, int]]:
         found = kept.get(passage)
         if found is None:
-            found = [(lang, n) for lang, n, _ in label(model, passage)]
+            found = languages(label(model, passage))
             if len(passage) <= KEPT_CHARS:
                 if len(kept) >= KEPT:
                     kept.clear()
                 kept[passage] = found
         return found
 
-    def shares(key: int, repo: str | None, whole: int, texts: list[str]) -> list[tuple]:
-        letters: dict[str, int] = {}
-        best: dict[str, tuple[int, str]] = {}
-        for t, times in Counter(texts).items():
-            for lang, n in labels(t):
-                letters[lang] = letters.get(lang, 0) + n * times
-                best[lang] = max(best.get(lang, (0, "")), (n, t))
-        return [(key, repo, lang, n / max(1, whole), best[lang][1]) for lang, n in sorted(letters.items())]
+    def rows(key: int, repo: str | None, chars: int, texts: list[str]) -> list[tuple]:
+        return [(key, repo, chars, no, lang, p, n, t if with_text else None) for no, t in enumerate(texts) for lang, p, n in labels(t)]
 
-    return shares
+    return rows
 
 
 def model_of(documents: DataFrame, lang_codes: DataFrame) -> ngram_model.Model | None:
@@ -123,26 +125,42 @@ def model_of(documents: DataFrame, lang_codes: DataFrame) -> ngram_model.Model |
     return ngram_model.fit(lines) if lines else None
 
 
-def in_files(source_files: DataFrame, model: ngram_model.Model) -> DataFrame:
-    """(record_id, repo, lang, share, passage): each language of a file, its share of the file's characters, its longest passage."""
-    shares = _worker(model)
+def in_files(source_files: DataFrame, model: ngram_model.Model, with_text: bool = True) -> DataFrame:
+    """(record_id, repo, chars, passage_no, lang, probability, letters, text): each passage of a file, once per language in it.
+
+    ``chars`` is the length of the file; ``passage_no`` counts its comments and
+    literals from 0, those that are no passage too.
+    """
+    rows = _worker(model, with_text)
 
     def work(file_id: int, repo: str, lang: str, text: str, spans: list, end: str) -> list[tuple]:
-        return shares(file_id, repo, len(text), texts_of(lang, text, spans))
+        return rows(file_id, repo, len(text), texts_of(lang, text, spans))
 
     return lexed_files(source_files, ["file_id", "repo"], work, SCHEMA)
 
 
-def in_endpoints(endpoints: DataFrame, model: ngram_model.Model) -> DataFrame:
+def in_endpoints(endpoints: DataFrame, model: ngram_model.Model, with_text: bool = True) -> DataFrame:
     """The same for the descriptions of endpoints."""
-    shares = _worker(model)
-    rows = endpoints.where("description is not null").select("row_id", "project", "description")
-    return run_batches(rows, lambda i, repo, t: shares(i, repo, len(t), [t]), SCHEMA)
+    rows = _worker(model, with_text)
+    described = endpoints.where("description is not null").select("row_id", "project", "description")
+    return run_batches(described, lambda i, repo, t: rows(i, repo, len(t), [t]), SCHEMA)
 
 
-def passages(source_files: DataFrame, endpoints: DataFrame, documents: DataFrame, lang_codes: DataFrame) -> DataFrame:
-    """(record, record_id, repo, lang, share, passage) of files and endpoints."""
+def passages(source_files: DataFrame, endpoints: DataFrame, documents: DataFrame, lang_codes: DataFrame, with_text: bool = True) -> DataFrame:
+    """(record, record_id, repo, chars, passage_no, lang, probability, letters, text) of files and endpoints; ``text`` null without ``with_text``."""
     model = model_of(documents, lang_codes)
     if model is None:
         return source_files.sparkSession.createDataFrame([], "record string, " + SCHEMA)
-    return in_files(source_files, model).select(F.lit("file").alias("record"), "*").unionByName(in_endpoints(endpoints, model).select(F.lit("endpoint").alias("record"), "*"))
+    files, described = in_files(source_files, model, with_text), in_endpoints(endpoints, model, with_text)
+    return files.select(F.lit("file").alias("record"), "*").unionByName(described.select(F.lit("endpoint").alias("record"), "*"))
+
+
+def found(passages: DataFrame) -> DataFrame:
+    """(record, record_id, lang) of every language other than English that has a passage."""
+    return passages.where("lang <> 'en'").select("record", "record_id", "lang").distinct()
+
+
+def record_shares(passages: DataFrame) -> DataFrame:
+    """(record, record_id, repo, lang, passages, letters, share): letters of each language, and their share of the record's characters."""
+    per = passages.groupBy("record", "record_id", "repo", "lang").agg(F.count("*").alias("passages"), F.sum("letters").alias("letters"), F.max("chars").alias("chars"))
+    return per.select("record", "record_id", "repo", "lang", "passages", "letters", (F.col("letters") / F.greatest(F.lit(1), "chars")).alias("share"))

@@ -31,18 +31,28 @@ def p5_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validity.rates(validity.judge_files(read(spark, sf_dir, "source_files")))
 
 
-def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.passages(*(read(spark, sf_dir, t) for t in ("source_files", "endpoints", "documents", "lang_codes")))
+def _passages(spark: SparkSession, sf_dir: str, with_text: bool = False) -> DataFrame:
+    return passages.passages(*(read(spark, sf_dir, t) for t in ("source_files", "endpoints", "documents", "lang_codes")), with_text=with_text)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages other than English in files and endpoints."""
-    return _passages(spark, sf_dir).where("lang <> 'en'").select("record", "record_id", "lang")
+    return passages.found(_passages(spark, sf_dir))
+
+
+def p2_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of files and endpoints, once per language in it."""
+    return _passages(spark, sf_dir, with_text=True)
+
+
+def p2_file_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each language in every file."""
+    return passages.record_shares(_passages(spark, sf_dir).where("record = 'file'"))
 
 
 def p2_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean share of each language per repository."""
-    return _passages(spark, sf_dir).where("record = 'file'").groupBy("repo", "lang").agg(F.count("*").alias("files"), F.avg("share").alias("mean_share"))
+    """Mean share of each language per repository, over the files that have it."""
+    return p2_file_shares(spark, sf_dir).groupBy("repo", "lang").agg(F.count("*").alias("files"), F.avg("share").alias("mean_share"))
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +105,6 @@ def p9_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profiles.labels(read(spark, sf_dir, "documents"), read(spark, sf_dir, "lang_codes"))
 
 
-FOUND = (p1_found, p1_kinds, p2_found, p2_shares, p4_found, p4_redacted, p5_found, p5_rates, p6_found, p6_pairs, p7_containers, p7_report, p8_mixture, p8_shares, p9_found, p9_labels)
+FOUND = (p1_found, p1_kinds, p2_found, p2_passages, p2_file_shares, p2_shares, p4_found, p4_redacted, p5_found, p5_rates, p6_found, p6_pairs, p7_containers, p7_report, p8_mixture, p8_shares, p9_found, p9_labels)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in FOUND}
 ORACLE: dict[str, str] = {}

@@ -150,3 +150,19 @@ def test_list_entries_and_flow_scalars_of_settings():
     ]
     assert all(text[a:b] == v for _, a, b, v in secrets.config_values("yaml", text))
     assert credentials("yaml", text)[0] == [1, 4, 6, 10]
+
+
+def test_every_passage_has_a_row_and_files_have_shares(spark):
+    docs = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(LINES)], "doc_id bigint, text string, lang string")
+    codes = spark.createDataFrame([("en", "English"), ("de", "German"), ("ko", "Korean")], "code string, name string")
+    text = "// der Dienst speichert die Zeilen der Tabelle\nlet a = 1;\n// dieser Schritt liest nur die Liste noch einmal\nlet b = 2;\n// the service stores the rows of the table\n"
+    files = spark.createDataFrame([(1, "r", "a.js", text)], "file_id bigint, repo string, path string, content string")
+    ends = spark.createDataFrame([(7, "r", "dieser Schritt liest nur die Liste")], "row_id bigint, project string, description string")
+    rows = passages.passages(files, ends, docs, codes)
+    got = sorted((r["record"], r["passage_no"], r["lang"], r["text"]) for r in rows.collect())
+    assert [g[:3] for g in got] == [("endpoint", 0, "de"), ("file", 0, "de"), ("file", 1, "de"), ("file", 2, "en")]
+    assert got[2][3] == "dieser Schritt liest nur die Liste noch einmal"
+    shares = {(r["record"], r["lang"]): (r["passages"], r["letters"], r["share"]) for r in passages.record_shares(rows).collect()}
+    letters = sum(c.isalpha() for c in "der Dienst speichert die Zeilen der Tabelle dieser Schritt liest nur die Liste noch einmal")
+    assert shares[("file", "de")] == (2, letters, letters / len(text))
+    assert sorted(tuple(r) for r in passages.found(rows).collect()) == [("endpoint", 7, "de"), ("file", 1, "de")]
