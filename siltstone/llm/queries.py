@@ -61,8 +61,8 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files in which credentials were replaced."""
-    return secrets.redact_files(read(spark, sf_dir, "source_files")).where("redactions > 0")
+    """The files and provider settings in which credentials were replaced."""
+    return secrets.redacted(read(spark, sf_dir, "source_files"), read(spark, sf_dir, "ai_configs"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -50,6 +50,9 @@ WORD_VALUE = re.compile(r"^[A-Za-z]+(?:[_.-][A-Za-z]+)*$")
 NAMED = re.compile(r"(?:([A-Za-z_$][\w$.-]*)[\"'\]]*\s*(?::\s*[\w<>\[\]?.| ]+)?\s*(?:=>|:=|===?|!==?|[:=])|[\[(,{]\s*([A-Za-z_]\w*)\s*=)\s*(?:new\s+\w+\(|\(|\w{1,2}(?=$)|@)?\s*$")
 CALL = re.compile(r"(?:connect|login|log_in|sign_?in|authenticate|auth|set_?password|setBasicAuth|basic_?auth)\s*\(\s*(?:\"[^\"\n]*\"|'[^'\n]*'|[\w.]+)\s*,\s*$", re.I)
 JOINED = re.compile(r"[\s+.&\\(),]*")
+#: What stands in where a reference has no value.
+DEFAULT = re.compile(r"(?:\|\||\?\?|:-|\bor\b|,)\s*[\"']?([^\s\"'}\])]+)")
+SCHEME = re.compile(r"^(?:bearer|basic|token)\s+", re.I)
 DIGIT = re.compile(r"\d")
 ESCAPE = re.compile(r"\\(?:x([0-9a-fA-F]{2})|u([0-9a-fA-F]{4})|u\{([0-9a-fA-F]+)\}|(.))", re.S)
 PLAIN = {"n": "\n", "t": "\t", "r": "\r", "\n": ""}
@@ -87,8 +90,8 @@ def strong(v: str) -> bool:
 
 def usable(v: str, least: int = 6) -> bool:
     """Whether ``v`` could be used as a credential where a sensitive key says that it is one."""
-    v = re.sub(r"^(?:bearer|basic|token)\s+", "", v.strip().strip("\"'` ").strip(), flags=re.I)
-    default = re.search(r"(?:\|\||\?\?|:-|\bor\b|,)\s*[\"']?([^\s\"'}\])]+)", v)
+    v = SCHEME.sub("", v.strip().strip("\"'` ").strip())
+    default = DEFAULT.search(v)
     if POINTER.search(v):
         return bool(default and usable(default[1], 12))
     if FILLER.search(v) or len(v) < least:
@@ -344,12 +347,40 @@ def key_usable(value: str | None) -> bool:
     return strong(v) or bool((p := decoded(v)) and usable(re.sub(r"^\w+:", "", p), 8)) or usable(v, 12) and bool(re.search(r"\d", v))
 
 
+def key_place(value: str | None) -> tuple[int, int] | None:
+    """Offsets of the credential within an apiKey, without quotes, references and scheme around it; None if there is none."""
+    if not value or not key_usable(value):
+        return None
+    v = value.strip().strip("\"'` \n").strip()
+    a = value.index(v)
+    for p in (STRONG, PEM):
+        if (m := p.search(v)) and strong(m[0]):
+            return a + m.start(), a + m.end()
+    if POINTER.search(v) and not decoded(v) and (m := DEFAULT.search(v)):
+        return a + m.start(1), a + m.end(1)
+    m = SCHEME.match(v)
+    return a + (m.end() if m else 0), a + len(v)
+
+
+def redact_key(value: str | None) -> str | None:
+    """An apiKey with only its credential replaced."""
+    place = key_place(value)
+    return value[: place[0]] + MARK + value[place[1] :] if place else value
+
+
 def find_in_configs(ai_configs: DataFrame) -> DataFrame:
     """(config_id, found, apiKey): whether the apiKey is usable, and the redacted apiKey."""
-    work = lambda i, v: [(i, key_usable(v), MARK if key_usable(v) else v)]
+    work = lambda i, v: [(i, key_usable(v), redact_key(v))]
     return run_batches(ai_configs.select("config_id", "apiKey"), work, "config_id bigint, found boolean, apiKey string")
 
 
+def redacted(source_files: DataFrame, ai_configs: DataFrame) -> DataFrame:
+    """(record, record_id, content, redactions) of the files and apiKeys in which a credential was replaced."""
+    files = redact_files(source_files).where("redactions > 0").select(F.lit("file").alias("record"), F.col("file_id").alias("record_id"), "content", "redactions")
+    configs = find_in_configs(ai_configs).where("found").select(F.lit("config").alias("record"), F.col("config_id").alias("record_id"), F.col("apiKey").alias("content"), F.lit(1).alias("redactions"))
+    return files.unionByName(configs)
+
+
 def found(source_files: DataFrame, ai_configs: DataFrame) -> DataFrame:
     """(record, record_id, line_no), one row per line on which a credential begins."""
     files = find_in_files(source_files).select(F.lit("file").alias("record"), F.col("file_id").alias("record_id"), "line_no").distinct()

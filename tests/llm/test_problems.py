@@ -166,3 +166,19 @@ def test_every_passage_has_a_row_and_files_have_shares(spark):
     letters = sum(c.isalpha() for c in "der Dienst speichert die Zeilen der Tabelle dieser Schritt liest nur die Liste noch einmal")
     assert shares[("file", "de")] == (2, letters, letters / len(text))
     assert sorted(tuple(r) for r in passages.found(rows).collect()) == [("endpoint", 7, "de"), ("file", 1, "de")]
+
+
+def test_only_the_credential_of_a_key_is_replaced(spark):
+    for value, left in (
+        ('process.env.AI_KEY || "BRZt5k2LxQ9vWm3e"', 'process.env.AI_KEY || "REDACTED"'),
+        ("${AI_KEY:-sk-tLly49SFajAlkpeUmnXaxRicZoCBwkgCcBpmJhRX}", "${AI_KEY:-REDACTED}"),
+        (' "t074fRkKutTjcJ6uVQoIjs9seT0TexYm"\n', ' "REDACTED"\n'),
+        ("Bearer t074fRkKutTjcJ6uVQoIjs9seT0TexYm", "Bearer REDACTED"),
+        ("process.env.KEY", "process.env.KEY"),
+        (None, None),
+    ):
+        assert secrets.redact_key(value) == left
+    files = spark.createDataFrame([(1, "a.py", 'API_KEY = "Lantern_Lantern9786!"\n')], "file_id bigint, path string, content string")
+    configs = spark.createDataFrame([(5, "t074fRkKutTjcJ6uVQoIjs9seT0TexYm"), (6, None)], "config_id bigint, apiKey string")
+    rows = sorted(tuple(r) for r in secrets.redacted(files, configs).collect())
+    assert rows == [("config", 5, "REDACTED", 1), ("file", 1, 'API_KEY = "REDACTED"\n', 1)]
