@@ -71,8 +71,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of function and documentation, that of separate declarations included."""
-    return pairs.documented(pairs.symbols(read(spark, sf_dir, "source_files")))
+    """Pairs of the code of a function, or a type, and its documentation, that of separate declarations included."""
+    return pairs.pairs(read(spark, sf_dir, "source_files"), read(spark, sf_dir, "type_infos"))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 import random
 
-from siltstone.llm import functions, grammar, labelled, lexing, mixing, packing, passages, profiles, prose, secrets, stages
+from siltstone.llm import functions, grammar, labelled, lexing, mixing, packing, pairs, passages, profiles, prose, secrets, stages
 
 
 def credentials(lang, text):
@@ -182,3 +182,19 @@ def test_only_the_credential_of_a_key_is_replaced(spark):
     configs = spark.createDataFrame([(5, "t074fRkKutTjcJ6uVQoIjs9seT0TexYm"), (6, None)], "config_id bigint, apiKey string")
     rows = sorted(tuple(r) for r in secrets.redacted(files, configs).collect())
     assert rows == [("config", 5, "REDACTED", 1), ("file", 1, 'API_KEY = "REDACTED"\n', 1)]
+
+
+def test_functions_carry_their_code(spark):
+    for lang, text, want in (
+        ("js", "class A {\n  handle = async (x) => {\n    return '}';\n  };\n  static one = x => x + 1;\n  n = 4;\n}\nconst f = (a) =>\n  a\n    .b(1);\nlet g;\n", {("A", "handle"): "handle = async (x) => {\n    return '}';\n  }", ("A", "one"): "static one = x => x + 1", ("", "f"): "const f = (a) =>\n  a\n    .b(1)"}),
+        ("py", 'class A:\n    def f(self):\n        s = """\nx\n"""\n        return (\n  1)\n\n    def g(self): return 2\nx = 1\n', {("A", "f"): 'def f(self):\n        s = """\nx\n"""\n        return (\n  1)', ("A", "g"): "def g(self): return 2"}),
+        ("kt", "fun a(x: Int) = x +\n    1\nfun b() {\n}\n", {("", "a"): "fun a(x: Int) = x +\n    1", ("", "b"): "fun b() {\n}"}),
+        ("go", "func (s *S) A() int {\n\treturn 1\n}\n", {("S", "A"): "func (s *S) A() int {\n\treturn 1\n}"}),
+    ):
+        spans, _ = lexing.lex(lang, text)
+        assert {(f["owner"], f["name"]): text[f["from"] : f["to"]] for f in functions.extract(lang, text, spans)} == want
+    js = "// Sums the rows of the given table.\nfunction total(rows) {\n  return 1;\n}\n"
+    files = spark.createDataFrame([(1, "r", "src/a.js", js)], "file_id bigint, repo string, path string, content string")
+    types = spark.createDataFrame([(4, "r", "a.ts", "interface", "User", "Someone who may sign in here.", [("id", "string", True, None)])], "type_id bigint, repo string, filePath string, kind string, name string, description string, fields array<struct<name:string,type:string,required:boolean,description:string>>")
+    rows = sorted((r["record"], r["record_id"], r["name"], r["code"], r["doc"]) for r in pairs.pairs(files, types).collect())
+    assert rows == [("function", 1, "total", js.split("\n", 1)[1].rstrip(), "Sums the rows of the given table."), ("type", 4, "User", "interface User {\n  id: string;\n}", "Someone who may sign in here.")]
