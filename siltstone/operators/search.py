@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Words that say nothing in a query. Fixed values.
@@ -65,3 +69,60 @@ def title_boost(title: Column, query: str) -> Column:
     words = query.lower().split()
     hits = sum((F.lower(title).contains(w).cast("double") for w in words), F.lit(0.0))
     return F.when(F.lower(title).contains(query.lower()), 1.0).otherwise(hits / len(words))
+
+
+#: Vectors of a block by ids: so many queries meet so many rows in one product.
+QUERY_IDS, ROW_IDS = 51_200, 2_048
+
+
+def _blocks(vectors: DataFrame, key: str, vector: str, ids: int, prefix: str) -> DataFrame:
+    """(block, dim, keys, flat): the vectors of each range of ``ids`` keys and each length, one after another."""
+    rows = vectors.where(F.col(key).isNotNull() & (F.size(vector) > 0)).groupBy(F.floor(F.col(key) / ids).alias(f"{prefix}block"), F.size(vector).alias("dim"))
+    listed = rows.agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))).alias("l"))
+    return listed.select("dim", F.col("l.k").alias(f"{prefix}keys"), F.flatten("l.v").alias(f"{prefix}flat"))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, key: str, vector: str, limit: int = 20) -> DataFrame:
+    """(query, key, score): the ``limit`` rows nearest to every query by cosine, rounded to five places; ties by key.
+
+    Blocks of queries meet blocks of rows in one matrix product each, which
+    keeps ``limit`` rows a query; these are merged per query. Vectors of other
+    lengths don't meet; a zero vector has the score 0. Null keys and vectors have no row.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unit(m: np.ndarray) -> np.ndarray:
+            norms = np.linalg.norm(m, axis=1, keepdims=True)
+            return np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                dim = batch.column("dim")[i].as_py()
+                qk, rk = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("qkeys", "rkeys"))
+                # One product of blocks.
+                q, r = (unit(batch.column(c)[i].values.to_numpy(zero_copy_only=False).reshape(-1, dim)) for c in ("qflat", "rflat"))
+                scores = np.round(q @ r.T, 5) + 0.0
+                top = [np.lexsort((rk, -line))[:limit] for line in scores]
+                n = min(limit, len(rk))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qk, n)), pa.array(rk[np.concatenate(top)]), pa.array(np.concatenate([s[t] for s, t in zip(scores, top, strict=True)]))], names=["query", key, "score"])
+
+    pairs = _blocks(queries, key, vector, QUERY_IDS, "q").join(_blocks(vectors, key, vector, ROW_IDS, "r"), "dim")
+    found = pairs.select("dim", "qkeys", "qflat", "rkeys", "rflat").mapInArrow(work, f"query bigint, {key} bigint, score double")
+    return best(found, key, limit)
+
+
+def best(scored: DataFrame, key: str, limit: int) -> DataFrame:
+    """The ``limit`` best rows of every ``query`` by score, ties by key."""
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), key))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= limit).select("query", key, "score")
+
+
+def related(docs: DataFrame, asked: Column, key: str = "doc_id", text: str = "text", limit: int = 10) -> DataFrame:
+    """(query, key, score): for every document where ``asked`` holds, the ``limit`` best documents by cosine of TF-IDF vectors."""
+    posted = postings(docs, key, text)
+    w = weights(posted, idf(posted, docs), key)
+    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    unit = w.join(norms, key).select(key, "term", (F.col("w") / F.col("norm")).alias("w"))
+    q = unit.where(asked).select(F.col(key).alias("query"), "term", F.col("w").alias("qw"))
+    dots = unit.join(q, "term").groupBy("query", key).agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
+    return best(dots, key, limit)

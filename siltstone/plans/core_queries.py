@@ -61,6 +61,28 @@ def search_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.join(F.broadcast(asked)).select("vec_id", "label", F.round(search.cosine(F.col("embedding"), F.col("q")), 5).alias("score")).orderBy(F.desc("score"), "vec_id").limit(20)
 
 
+@query(
+    """select query, vec_id, score from (select q.vec_id as query, e.vec_id as vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 5) as score
+from embeddings e, embeddings q where q.vec_id % 100 = 0) qualify row_number() over (partition by query order by score desc, vec_id) <= 20"""
+)
+def search_embedding_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty vectors nearest to each one whose id is divisible by 100."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return search.nearest(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding")
+
+
+@query(
+    POSTED
+    + """, w as (select p.doc_id, p.term, p.n / max(p.n) over (partition by p.doc_id) * i.idf as w from posted p join idfs i using (term)),
+u as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as w from w)
+select query, doc_id, score from (select q.doc_id as query, u.doc_id as doc_id, round(sum(u.w * q.w), 6) as score from u join u q using (term) where q.doc_id % 100 = 0 group by all)
+qualify row_number() over (partition by query order by score desc, doc_id) <= 10"""
+)
+def search_related_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents by TF-IDF cosine for the text of each document whose id is divisible by 100."""
+    return search.related(read(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 100 == 0)
+
+
 @query(
     """select doc_id, case when contains(lower(t), 'orders region') then 1.0::double else (contains(lower(t), 'orders')::int + contains(lower(t), 'region')::int) / 2.0::double end as boost
 from (select doc_id, string_split(text, chr(10))[1] as t from documents where text is not null)"""
