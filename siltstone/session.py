@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -37,6 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def size_in_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``; used before any broadcast."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+def small_rows(df: DataFrame, most: int = 10_000) -> list[Row]:
+    """All rows of a table that is small by its nature; a table of more than ``most`` rows is an error, never cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a table of at most {most} rows was expected")
+    return rows
+
+
+def small_side(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
+    """``df`` marked for broadcast where Catalyst's estimate of its size allows it; else left to a shuffled join."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(df) if size <= most_bytes else df
