@@ -3,11 +3,12 @@
 The skeleton of a file (:func:`siltstone.llm.lexing.skeleton`) is mapped to a
 string of token classes, one letter each: ``n`` a name, ``0`` a number, ``"`` a
 literal, a letter for each group of keywords, operators as they are. Balanced
-brackets are reduced from the inside to one letter (``p`` round, ``q`` square,
-``b`` curly) after their content was held against the grammar of the language.
-What cannot be reduced is the bracket summary of a chunk; summaries of
-neighbouring chunks join by concatenation and further reduction, which is
-associative. Grammars are local: each looks at one balanced statement list.
+brackets are reduced to one letter (``p`` round, ``q`` square, ``b`` curly)
+after their content was held against the grammar of the language. What cannot
+be reduced is the bracket summary of a chunk (:func:`note`); summaries of
+neighbouring chunks join by concatenation and further reduction (:func:`join`),
+which is associative. Grammars are local: each looks at one balanced list of
+statements.
 """
 
 from __future__ import annotations
@@ -18,20 +19,24 @@ import re
 import warnings
 from functools import lru_cache
 
+from . import lexing
+
 WORDS = {
     "js": {"d": "let var", "k": "const", "F": "function", "C": "class", "R": "return throw", "I": "if while for switch catch with", "E": "else do try finally", "u": "new typeof void delete await yield", "o": "in instanceof of extends", "M": "import", "X": "export", "c": "case", "D": "default", "B": "break continue debugger", "m": "async get set static", "f": "from", "a": "as"},
-    "java": {"P": "package", "M": "import", "C": "class interface enum @interface record", "m": "public private protected static final abstract native transient volatile strictfp sealed default", "R": "return throw assert", "I": "if while for switch catch synchronized", "E": "else do try finally", "u": "new", "c": "case", "B": "break continue yield", "o": "extends implements throws instanceof permits", "Z": "const goto"},
-    "kt": {"P": "package", "M": "import", "C": "class interface object", "F": "fun constructor", "d": "val var typealias", "m": "suspend private public protected internal data enum sealed abstract open override inline const companion lateinit operator infix tailrec vararg annotation final noinline crossinline reified expect actual external value", "R": "return throw", "I": "if while for when catch", "E": "else do try finally", "o": "is in as by", "B": "break continue"},
-    "go": {"P": "package", "M": "import", "F": "func", "T": "type", "U": "struct interface", "d": "var const", "R": "return", "I": "if for switch select", "E": "else", "c": "case", "D": "default", "r": "range", "y": "map chan", "g": "go defer", "B": "break continue goto fallthrough"},
+    "java": {"P": "package", "M": "import", "C": "class interface enum @interface record", "m": "public private protected static final abstract native transient volatile strictfp sealed default synchronized", "R": "return throw assert", "I": "if while for switch catch", "E": "else do try finally", "u": "new", "c": "case", "B": "break continue yield", "o": "extends implements throws instanceof permits", "Z": "const goto"},
+    "kt": {"P": "package", "M": "import", "C": "class interface object", "F": "fun constructor", "d": "val var typealias", "a": "get set", "m": "suspend private public protected internal data enum sealed abstract open override inline const companion lateinit operator infix tailrec vararg annotation final noinline crossinline reified expect actual external value", "R": "return throw", "I": "if while for when catch", "E": "else do try finally", "o": "is in as by", "B": "break continue"},
+    "go": {"P": "package", "M": "import", "F": "func", "T": "type", "U": "struct interface", "d": "var const", "R": "return", "I": "if switch select", "L": "for", "E": "else", "c": "case", "D": "default", "r": "range", "y": "map chan", "g": "go defer", "B": "break continue goto fallthrough"},
     "php": {"N": "namespace use", "C": "class interface trait enum", "F": "function fn", "m": "public private protected static final abstract readonly var", "d": "const", "R": "return throw echo print yield include require include_once require_once", "I": "if while for foreach switch catch match elseif declare", "E": "else do try finally", "u": "new clone", "c": "case", "D": "default", "o": "extends implements instanceof as insteadof and or xor", "B": "break continue global goto"},
-    "c": {"t": "int long short char float double void unsigned signed const static extern register volatile inline restrict auto _Bool size_t typedef", "U": "struct union enum", "R": "return", "I": "if while for switch", "E": "else do", "c": "case", "D": "default", "B": "break continue goto", "u": "sizeof"},
-    "graphql": {"T": "type input interface enum union scalar schema directive extend", "Q": "query mutation subscription fragment", "o": "implements on"},
+    "c": {"t": "int long short char float double void unsigned signed _Bool size_t", "v": "const static extern register volatile inline restrict auto typedef", "U": "struct union enum", "R": "return", "I": "if while for switch", "E": "else do", "c": "case", "D": "default", "B": "break continue goto", "u": "sizeof"},
+    "graphql": {"K": "type input interface", "T": "enum union scalar schema directive extend", "Q": "query mutation subscription fragment", "o": "implements on"},
     "py": {}, "json": {}, "yaml": {},
 }
 WORDS["ts"] = WORDS["js"] | {"m": "async get set static public private protected readonly abstract override declare accessor", "o": "in instanceof of extends implements is keyof infer satisfies asserts", "T": "type interface namespace enum module global"}
 TABLES = {lang: {w: c for c, ws in groups.items() for w in ws.split()} for lang, groups in WORDS.items()}
 WORD = re.compile(r"[A-Za-z_$\u0080-\uffff][\w$]*|\d(?:[\w.]|(?<=[eE])[+-])*")
 PHP_WORD = re.compile(r"\\?[A-Za-z_$\u0080-\uffff][\w$]*(?:\\[A-Za-z_]\w*)*|\d(?:[\w.]|(?<=[eE])[+-])*")
+#: Languages that are judged without bracket summaries; settings of the kind ``ini`` are all taken as valid.
+UNBRACKETED = ("py", "json", "yaml", "ini")
 #: Languages in which the end of a line may end a statement.
 LINED = {"js", "ts", "kt", "go", "graphql"}
 CONFLICT = re.compile(r"<{4}|\|{3}|>{7}|={4}")
@@ -46,29 +51,69 @@ def classes(lang: str, code: str) -> str:
     return re.sub(r"[\s\ufeff]+", "", s)
 
 
-INNER = re.compile(r"[(\[{][^()\[\]{}]*[)\]}]")
+BRACKET = re.compile(r"([()\[\]{}])")
 PAIR = {"(": ")", "[": "]", "{": "}"}
 #: Stands for a group that breaks the grammar.
 BROKEN = "\x00"
 LETTER = {"(": "p", "[": "q", "{": "b"}
+#: Groups up to this length are remembered, at most ``KEPT`` of them.
+SHORT, KEPT = 200, 1 << 15
 
 
-@lru_cache(maxsize=1 << 16)
-def _group(lang: str, group: str) -> str:
+def _group(lang: str, kind: str, inside: str) -> str:
     """The letter of a balanced group, or ``BROKEN`` if its content breaks the grammar."""
-    if PAIR[group[0]] != group[-1]:
-        return BROKEN
-    return BROKEN if _broken(lang, group[0], group[1:-1]) else LETTER[group[0]]
+    return _short_group(lang, kind, inside) if len(inside) <= SHORT else _short_group.__wrapped__(lang, kind, inside)
+
+
+@lru_cache(maxsize=KEPT)
+def _short_group(lang: str, kind: str, inside: str) -> str:
+    return BROKEN if _broken(lang, kind, inside) else "e" if kind == "{" and _elements(lang, inside) else LETTER[kind]
+
+
+def _elements(lang: str, s: str) -> bool:
+    """Whether the content of curly brackets can only be elements (of an array, an enum), no statements or fields."""
+    if lang == "graphql":
+        return bool(re.fullmatch(r"[\nnTKQo@p,]+", s))
+    if lang == "php":
+        return s != "" and not re.search("[;bC]|=>|^\"", s)
+    return lang in ("java", "c") and s != "" and not re.search("[;bC]|->", s)
 
 
 def summary(lang: str, s: str) -> str:
-    """Reduce all balanced groups. A text whose grammar is broken gives ``BROKEN``."""
-    while True:
-        s, n = INNER.subn(lambda m: _group(lang, m[0]), s)
-        if BROKEN in s:
-            return BROKEN
-        if not n:
-            return s
+    """Reduce all balanced groups in one pass. A text whose grammar is broken gives ``BROKEN``."""
+    if BROKEN in s:
+        return BROKEN
+    frames: list[list[str]] = [[]]
+    for i, part in enumerate(BRACKET.split(s)):
+        if i % 2 == 0:
+            if part:
+                frames[-1].append(part)
+        elif part in PAIR:
+            frames.append([part])
+        elif len(frames) == 1:
+            frames[0].append(part)
+        else:
+            opened, *inside = frames.pop()
+            letter = _group(lang, opened, "".join(inside)) if PAIR[opened] == part else BROKEN
+            if letter == BROKEN:
+                return BROKEN
+            frames[-1].append(letter)
+    return "".join(x for f in frames for x in f)
+
+
+def note(lang: str, text: str, piece: lexing.Piece, last: bool) -> str:
+    """The bracket summary of a chunk; nothing for the languages that have none."""
+    if lang in UNBRACKETED:
+        return ""
+    return summary(lang, classes(lang, lexing.skeleton(text, piece.run.spans, piece.at, piece.end, piece.start not in ("C", lexing.start_of(lang)) or piece.start == "H" and piece.at > 0)))
+
+
+def join(lang: str, notes: list[str]) -> str:
+    """The summary of neighbouring chunks out of theirs."""
+    while len(notes) > 1:
+        notes = [summary(lang, "".join(notes[i : i + 8])) for i in range(0, len(notes), 8)]
+    s = notes[0] if notes else ""
+    return re.sub(r"\n+", "\n", s) if lang in LINED else s
 
 
 LITERALS = re.compile(r'[0"][n0"]|n"|n0')
@@ -76,15 +121,18 @@ LITERALS = re.compile(r'[0"][n0"]|n"|n0')
 AS_NAME = re.compile(r"(?<=[.#])[A-Zacdfkmou]|(?:(?<=[,;\n])|^)[A-Zadfkmou](?=\??:)")
 JS_JOIN = re.compile(r"(?<=[=+*/%&|^?:,.(!~<-])\n|\n(?=[.?:&|+*/,=)]|=>|o)")
 JS_VALUE = re.compile(r"(?<=[=(,:?&|+!])b|(?<=[Ru])b|(?<==>)b")
-JS_STATEMENT = re.compile(r'[n0"q][n0"]|p[n0"]|"p|[n0"]b|[=*/%&|^<,~?:.]$|(?:^|[^+])\+$|(?:^|[^-])-$|^[kdFCuo]$|^kn$|#(?!n)|[`\\]|^[=*/%&|^<>?,]|^\.(?!\.\.)')
+JS_STATEMENT = re.compile(r'R[=*/%&|^?.,>]|[n0"q][n0"]|p[n0"]|"p|[n0"]b|[=*/%&|^<,~?:.]$|(?:^|[^+])\+$|(?:^|[^-])-$|^[kdFCuo]$|^kn$|#(?!n)|[`\\]|^[=*/%&|^<>?,]|^\.(?!\.\.)')
 JS_EXPRESSION = re.compile(r'[n0"q][n0"]|p[n0"]|"p|[=*/%&|^~]$|[`\\]')
 JS_IMPORT = re.compile(r'M(?:"|(?:n|b|\*an)(?:,(?:b|\*an))?f")(?:nb)?')
 TS_IMPORT = re.compile(r'M(?:"|[nT]?(?:[nTfm]|b|\*an)(?:,(?:b|\*an))?f"|[nT]?n=.+)(?:nb)?')
 JS_EXPORT = re.compile(r'X(?:\*(?:an)?f"|b(?:f")?|D.+|[kdCYZm].+|[YZ])(?:nb)?')
 TS_EXPORT = re.compile(r'X(?:T?\*(?:an)?f"|T?b(?:f")?|D.+|[kdCYZmT=].+|[YZ]|an)(?:nb)?')
 TYPE = r"(?::[^;\n={}]*?(?:b[^;\n={}]*?)?)?"
-FUNCTIONS = {"js": re.compile(r"m?F\*?[nm]?pb"), "ts": re.compile(rf"m?F\*?[nm]?(?:<[^;\n]*?>)?p{TYPE}b")}
+FUNCTIONS = {"js": re.compile(r"m?F\*?[nm]?pb"), "ts": re.compile(rf"m?F\*?[nm]?(?:<[^;\n]*?>)?p{TYPE}(?:b|(?=[;\n]|$))")}
+NAMELESS = re.compile(r"(?:^|(?<=[;\n]))m?F\*?pb")
 CLASSES = {"js": re.compile(r"C[n]?(?:o[n.]+p?)?b"), "ts": re.compile(r"C[n]?(?:<[^;\n]*?>)?(?:o[n.,]+(?:<[^;\n]*?>)?p?)*b")}
+SIGNATURES = re.compile(rf'(?:^|(?<=[;\n,b]))m+n\??(?:<[^;\n]*?>)?p{TYPE}(?=[;\n]|$)')
+GENERIC_ARROW = re.compile(r"(?<=[=(,:?])<[^=;()\n]*>(?=p)")
 METHODS = {"js": re.compile(r'(?:^|(?<=[;\n,b]))m*\*?(?:n|#n|"|0|q)pb'), "ts": re.compile(rf'(?:^|(?<=[;\n,b]))m*\*?(?:n|#n|"|0|q)\??(?:<[^;\n]*?>)?p{TYPE}b')}
 
 
@@ -92,15 +140,19 @@ def _js(lang: str, kind: str, s: str) -> bool:
     """JavaScript and TypeScript: values don't follow each other, operators don't stand alone, imports and exports are whole."""
     s = AS_NAME.sub("n", s)
     if lang == "ts":
-        s = re.sub(r"@n(?:\.n)*p?\n?", "", s)
-    if "@" in s or lang == "js" and kind == "(" and re.search(r"(?:^|,)[nbq]\??:", s.replace("\n", "")):
+        s = GENERIC_ARROW.sub("", re.sub(r"@n(?:\.n)*p?\n?", "", s))
+    if ":=" in s or "@" in s or lang == "js" and kind == "(" and re.search(r"(?:^|,)[nbq]\??:", s.replace("\n", "")):
         return True
     if kind != "{":
         s = re.sub(r"[dk\n]|m(?=[npbqF])|(?<=[^n])m(?==)", "", s)
         s = CLASSES[lang].sub("n", FUNCTIONS[lang].sub("n", s))
         return any(bool(JS_EXPRESSION.search(re.sub(r"[oaTm]", "+", re.sub(r"[fm](?=[,:)=.?]|$)", "n", t)))) for t in re.split("[,;]", s) if t)
     s = JS_JOIN.sub("", s)
+    if NAMELESS.search(s):
+        return True
     s = CLASSES[lang].sub("Z", FUNCTIONS[lang].sub("Y", s))
+    if lang == "ts":
+        s = SIGNATURES.sub(";", s)
     s = METHODS[lang].sub(";", s)
     s = JS_VALUE.sub("n", s)
     s = re.sub(r"(?<=[=(,:?&|+!Ru])[YZ]", "n", s)
@@ -126,7 +178,9 @@ def _js_statement(lang: str, t: str) -> bool:
     if not t or t == "b":
         return False
     if ts:
-        if re.match(r"T[nm]", t):
+        if re.match(r"T[nm](?:\.n)+b", t):
+            t = re.sub(r"^T[nm](?:\.n)+b", "", t)
+        elif re.match(r"T[nm]", t):
             t = re.sub(r"^T[nm](?:<[^=]*?>)?(?:o[n.]+(?:<.*?>)?)*b|^T[nm](?:<[^=]*?>)?(?==)", "n", t)
         elif re.match(r'T"b', t):
             t = t[3:]
@@ -149,12 +203,18 @@ def _java(kind: str, s: str) -> bool:
     s = ANNOTATIONS.sub("", s.replace("@C", "C"))
     if "@" in s:
         return True
-    s = VALUE.sub("n", s)
+    if re.search(r"pe|Ee|->e", s):
+        return True
+    s = VALUE.sub("n", s.replace("e", "b"))
     if kind != "{":
         return bool(re.search(r'[0"][n0"]|[=*/%&|^,]$|(?:^|[^+])\+$|nnn', re.sub(r"<[^;()]*?>", "", s.replace("m", "").replace("o", "&"))))
     if re.search(r'[n0"pq](?:[RPM]|I(?!p[^b]*->)|B)(?!:)', re.sub(r"(?:Ip|E|uI)+", "", s)):
         return True
-    return any(_java_statement(t) for t in re.split("[;b]", s) if t)
+    s = re.sub(r"(?:^|(?<=[;b]))c[^;:b]*?->", ";", s)
+    *_, tail = parts = re.split("[;b]", s)
+    if tail and (";" in s or re.search(r"nn|[RBEP]|^I|m[nC]", tail)) or re.search(r"I(?!p)|=(?:;|$)", s):
+        return True
+    return any(_java_statement(t) for t in parts if t)
 
 
 @lru_cache(maxsize=1 << 16)
@@ -168,10 +228,10 @@ def _kt(kind: str, s: str) -> bool:
     """Kotlin: declarations begin with their keyword, so that a type is never followed by a name."""
     if re.search(r"[#\\$]", s):
         return True
-    s = re.sub(r"(?<=[.?:])[a-zA-Z](?=[.(p<])", "n", ANNOTATIONS.sub("", s))
+    s = re.sub(r"(?<=[.?:])[a-zA-Z](?=[.(p<])", "n", ANNOTATIONS.sub("", s)).replace("a", "n")
     for t in re.split(r"[;\n]", s):
         t = re.sub(r"<[^=;()]*?>", "", t)
-        if kind == "{" and re.search(r'^m+nn|^m*n\??q?np(?:b|$)|Rnnp|nnn=|^(?:m|C|F|d)$|[=:,]$|^n"|^n0', t) or re.search(r'Rnnp|[0"][0"]', t):
+        if kind == "{" and re.search(r'^m+nn|^m*n\??q?np(?:b|$)|Rnnp|nnn=|^(?:m|C|F|d)$|^m*d(?:[=:]|$)|[=:,]$|^n"|^n0', t) or re.search(r'Rnnp|[0"][0"]', t):
             return True
     return False
 
@@ -182,17 +242,22 @@ def _go(kind: str, s: str) -> bool:
         return True
     if kind == "{":
         for t in re.split(r"[;\n]", re.sub(r"(?<=[=+*/%&|^,.(<-])\n", "", s)):
-            if re.search(r'nn.*:=|[0"][n0"]|[=/%&|^]$|^I$', t):
+            if re.search(r'nn.*:=|:=:?=|^d=|[0"][n0"]|[=/%&|^]$|^[IL]$', t):
                 return True
+        if any(h.count(";") == 1 for h in re.findall(r"(?:^|(?<=[\n;]))L([^b\n]*)b", s)):
+            return True
     return False
 
 
 def _php(kind: str, s: str) -> bool:
     """PHP: statements end with a semicolon or a block."""
-    s = VALUE.sub("n", s.replace("#q", ""))
+    if re.search("pe|Ee", s := s.replace("Ipe", "Ipb") if "=>" in s else s):
+        return True
+    s = VALUE.sub("n", s.replace("e", "b").replace("#q", "").replace("\\b", ""))
     if "#" in s or "`" in s:
         return True
-    s = re.sub(r"F&?p(?:np)?(?::\??[n|]+)?(?:b|=>)", "n", s) if kind == "{" else s
+    s = re.sub(r"(?<=[=(,>R.?:])Ipb", "n", re.sub(r"F&?p(?::\??[n|]+)?=>", "", s))
+    s = re.sub(r"F&?p(?:np)?(?::\??[n|]+)?b", "n", s) if kind == "{" else s
     if kind != "{":
         return bool(re.search(r'[0"][n0"]|"p|[=*/%|^.+-]$', s.replace("o", "+")))
     if re.search(r'[n0"pq](?:[RIBN]|[Cm](?=[mnF]))', re.sub(r"(?:Ip:?|E|c[^:;]*:|D:|=I)+", "", s)):
@@ -204,12 +269,17 @@ def _c(kind: str, s: str) -> bool:
     """C: statements end with a semicolon or a block; at most one name of a type before a declared name."""
     if re.search(r"[@`$\\]", s):
         return True
-    s = VALUE.sub("n", re.sub(r"Un?b", "t", s))
+    if re.search(r"[nI]pe|Ee|tn[n]|R(?=[=;]|$)[=]", s):
+        return True
+    s = VALUE.sub("n", re.sub(r"Un?b", "t", s.replace("e", "b").replace("v", "t")))
     if kind != "{":
         return bool(re.search(r'[0"][n0]|[=/%|^.]$|nnn', s))
     if re.search(r'[n0"pq](?:[RIB]|t(?=[tn*]))', re.sub(r"(?:Ip|E|c[^:]*:|D:|Un|t\**)+", "", s)):
         return True
-    for t in re.split("[;b]", s):
+    *_, tail = parts = re.split("[;b]", s)
+    if tail and (";" in s or re.search(r"nn|[RBE]|^I|tn", tail)) or re.search(r"I(?!p)|=(?:;|$)", s):
+        return True
+    for t in parts:
         t = re.sub(r"^(?:Ip|E|c[^:]*:|D:|R|u)+|Un", "", re.sub(r"t+\**", "", t))
         if t and re.search(r'[0"][n0]|n["0]|"p|0p|[=/%|^.]$|(?:^|[^+])\+$|nnn|=[^;]*nn', t):
             return True
@@ -227,7 +297,7 @@ LOCAL = {"java": _java, "kt": _kt, "go": _go, "php": _php, "c": _c, "graphql": _
 
 def _broken(lang: str, kind: str, s: str) -> bool:
     """Whether the content of a balanced group of brackets breaks the grammar; ``kind`` is its opening bracket."""
-    if lang in ("py", "json", "yaml"):
+    if lang in UNBRACKETED:
         return False
     if CONFLICT.search(s):
         return True
@@ -235,46 +305,59 @@ def _broken(lang: str, kind: str, s: str) -> bool:
 
 
 JAVA_TOP = re.compile(r"(?:P[nm](?:\.[A-Za-z])*;|Mm?[nm](?:\.[A-Za-z])*(?:\.\*)?;|;|[mn!-]*C[n](?:<[^;b]*?>)?p?(?:o[^;b]*)?b)*\Z")
-KT_TOP = re.compile(r"P[nm](?:\.n)*|M[nm](?:\.n)*(?:\.\*)?(?:on)?|m*(?:C|F|d).+|b|E.*|[.?=:].*|.*[=:]")
+KT_TOP = re.compile(r"m*a(?:p(?::[^=]*)?(?:=.*|b))?|P[nm](?:\.n)*|M[nm](?:\.n)*(?:\.\*)?(?:on)?|m*(?:C|F|d).+|b|E.*|[.?=:].*|.*[=:]")
 GO_TOP = re.compile(r'M(?:"|p|n"|\.")|Fp?n(?:q|<.*>)?p.*|T(?:p|n.+)|d(?:p|n.*)', re.S)
 PHP_TOP = re.compile(
-    r"(?:;|Nm?F?d?n(?:b|(?:on)?(?:,n)*;|b;)|m*C\??n(?:on(?:,n)*)*b|m*F&?n?p(?::\??[n|&]+)?b|(?:Ip|E)+b|I?[^;bCNI]*(?:b[^;bCNI]*)*;)*\Z"
+    r"(?:;|Nm?F?d?n(?:b|(?:on)?(?:,n)*;|b;)|m*C\??n(?::\??n)?(?:on(?:,n)*)*b|m*F&?n?p(?::\??[n|&]+)?b|(?:Ip|E)+b|I?[^;bCNI]*(?:b[^;bCNI]*)*;)*\Z"
 )
 C_TOP = re.compile(r"(?:;|[^;b=\".:]*p(?:np)?b|t*Un?b?[^;b]*;|t*Un?b[^;b]*(?:=[^;]*)?;|[^;b=\".:]*(?:=[^;]*)?;)*\Z")
-GRAPHQL_TOP = re.compile(r"T+(?:[nTQo].*|b)|Q.*|b|[=|&@:!,].*|[qp].*|n(?:[|&].*)?(?=$)")
+GRAPHQL_TOP = re.compile(r"[TK]+[nTKQo].*|T+(?:@.*|b)|Q.*|b|[=|&@:!,].*|[qp].*|n(?:[|&].*)?(?=$)")
 
 
 def top_broken(lang: str, s: str) -> bool:
     """Whether the summary of a whole file breaks the grammar of its language."""
     if re.search(r"[()\[\]{}]", s) or s == BROKEN or CONFLICT.search(s):
         return True
-    if lang in ("py", "json", "yaml") or not s.strip("\n;"):
+    if lang in UNBRACKETED or not s.strip("\n;"):
         return False
     if lang in ("js", "ts"):
         return _js(lang, "{", s.partition("\n")[2] if s.startswith("#!") else s)
     if lang == "java":
-        t = ANNOTATIONS.sub("", s.replace("@C", "C"))
+        t = ANNOTATIONS.sub("", s.replace("@C", "C").replace("e", "b"))
         return "@" in t or "Z" in t or not JAVA_TOP.match(t)
     if lang == "kt":
-        t = ANNOTATIONS.sub("", re.sub(r"(?<=[.?])[A-Za-z]", "n", s))
-        return "@" in t or any(not KT_TOP.fullmatch(x) or re.search(r"^m*[CFd]$|[=:,.]$|^m*F[n.]+$|^m*dn$", x) for x in re.split(r"[;\n]", re.sub(r"(?<=[=:,.])\n", "", t)) if x)
+        t = re.sub(r"(?<=F)a|a(?![p\n;])", "n", ANNOTATIONS.sub("", re.sub(r"(?<=[.?])[A-Za-z]", "n", s)))
+        return "@" in t or any(not KT_TOP.fullmatch(x) or re.search(r"^m*d[=:]|^m*[CFd]$|[=:,.]$|^m*F[n.]+$|^m*dn$", x) for x in re.split(r"[;\n]", re.sub(r"(?<=[=:,.])\n", "", t)) if x)
     if lang == "go":
         parts = [x for x in re.split(r"[;\n]", re.sub(r"(?<=[=+*/%&|^,.])\n", "", s)) if x]
-        return parts[0] != "Pn" or any(not GO_TOP.fullmatch(x) or re.search(r"^Tn$|^dn$|[=,.:]$|[#@?$]", x) for x in parts[1:])
+        return parts[0] != "Pn" or any(not GO_TOP.fullmatch(x) or re.search(r"^Tn$|^d(?:n$|=)|[=,.:]$|[#@?$]", x) for x in parts[1:])
     if lang == "php":
-        return not PHP_TOP.match(s := s.replace("#q", "")) or _php("{", s)
+        if re.search("pe|Ee", s):
+            return True
+        s = s.replace("e", "b").replace("#q", "").replace("\\b", "")
+        s = re.sub(r"(?<=[=(,>R.?:])Ipb", "n", re.sub(r"F&?p(?::\??[n|]+)?=>", "", s))
+        return not PHP_TOP.match(s) or _php("{", s)
     if lang == "c":
+        if re.search(r"[nI]pe|tnn|=;", s):
+            return True
+        s = s.replace("e", "b").replace("v", "t")
         return bool(re.search(r"[@`$\\#]|nnn|=[^;]*nn", s)) or not C_TOP.match(s)
-    s = re.sub(r'(?:^|(?<=[\nb]))"\n?', "", s)
-    return any(x and (not GRAPHQL_TOP.fullmatch(x) or re.search(r"[=|@:&]$|^T+$", x)) for x in re.split(r"\n|(?<=b)", s))
+    s = re.sub(r'(?:^|(?<=[\nbe]))"\n?', "", s)
+    if re.search(r"(?:^|(?<=[\nbe]))T*K[^\ne]*e", s):
+        return True
+    s = s.replace("e", "b")
+    return any(x and (not GRAPHQL_TOP.fullmatch(x) or re.search(r"[=|@:&]$|^[TK]+$", x)) for x in re.split(r"\n|(?<=b)", s))
+
+
+YAML_KEY = re.compile(r"(?:\"|[^\s\[\]{},#&*!|>'\"%@`?:-](?:[^:#]|:(?=\S)|(?<=\S)#)*?|[?:-](?=\S)(?:[^:#]|:(?=\S))*?|<<|[&!*][^\s:]+[ ]+(?:\"|[^:#\s][^:#]*?))\s*:(?:\s+|$)")
 
 
 def _yaml_broken(code: str) -> bool:
     """Block structure line by line: keys, entries, plain text that runs on, block scalars."""
-    levels: list[int] = []  # indents of the open mappings and sequences
+    levels: list[tuple[int, str]] = []  # indent and kind (m mapping, s sequence) of the open collections
     scalar = plain = -1  # indent of an open block scalar's or plain scalar's parent
     flow = 0
-    seen = False
+    seen = ""  # what stood before: a key (k), a key with its value (v), something else (x)
     for raw in code.split("\n"):
         line = raw.rstrip()
         body = line.lstrip(" ")
@@ -286,41 +369,41 @@ def _yaml_broken(code: str) -> bool:
         if not body or body[0] == "%":
             continue
         if body in ("---", "...") or body.startswith("--- "):
-            levels, plain, seen = [], -1, False
+            levels, plain, seen = [], -1, ""
             continue
         if flow:
             flow += len(re.findall(r"[\[{]", body)) - len(re.findall(r"[\]}]", body))
             continue
         if body[0] == "\t":
             return True
-        while True:
-            m = re.match(r"-(?:\s+|$)", body)
-            if not m:
-                break
-            levels = [x for x in levels if x <= indent]
-            if not levels or levels[-1] < indent:
-                levels.append(indent)
+        if re.match(r"[?:](?:\s|$)", body):
+            seen = "x"
+            continue
+        while m := re.match(r"-(?:\s+|$)", body):
+            levels = [x for x in levels if x[0] <= indent]
+            if not levels or levels[-1][0] < indent or levels[-1][1] == "m" and seen != "":
+                if levels and levels[-1][0] == indent and seen == "v":
+                    return True
+                levels.append((indent, "s"))
             indent += m.end()
-            body, plain, seen = body[m.end():], indent - 1, True
-            if not body:
-                break
+            body, plain, seen = body[m.end() :], indent - 1, "x"
         if not body:
             continue
-        key = re.match(r"(?:\"|[^\s\[\]{},#&*!|>'\"%@`?:-](?:[^:#]|:(?=\S)|(?<=\S)#)*?|[?:-](?=\S)(?:[^:#]|:(?=\S))*?|<<)\s*:(?:\s+|$)", body)
+        key = YAML_KEY.match(body)
         if key:
-            while levels and levels[-1] > indent:
+            while levels and (levels[-1][0] > indent or levels[-1] == (indent, "s") and (indent, "m") in levels):
                 levels.pop()
-            if not levels or levels[-1] < indent:
-                if levels and plain < 0 and seen == "value":
-                    return True
-                if not levels and seen:
+            if levels and levels[-1] == (indent, "s"):
+                return True
+            if not levels or levels[-1][0] < indent:
+                if seen == "v" or not levels and seen:
                     return True
-                levels.append(indent)
-            value = body[key.end():]
-            seen = "value" if value else True
+                levels.append((indent, "m"))
+            value = re.sub(r"^(?:[&!][^\s]*\s*)+", "", body[key.end() :])
+            seen = "v" if value else "k"
             plain = indent if value else -1
             if re.match(r"[|>][+-]?\d?[+-]?\s*$", value):
-                scalar, seen = indent, True
+                scalar, seen = indent, "v"
             elif value[:1] in ("[", "{"):
                 flow = len(re.findall(r"[\[{]", value)) - len(re.findall(r"[\]}]", value))
                 if flow < 0:
@@ -330,15 +413,21 @@ def _yaml_broken(code: str) -> bool:
             continue
         if body[:1] in ("[", "{"):
             flow = len(re.findall(r"[\[{]", body)) - len(re.findall(r"[\]}]", body))
-            seen = True
+            seen = "x"
             if flow < 0:
                 return True
             continue
+        if re.match(r"[|>][+-]?\d?[+-]?$", body):
+            scalar, seen = max(0, indent - 1) if plain < 0 else plain, "v"
+            continue
         if plain >= 0 and indent > (plain if levels else -1):
             continue  # plain text runs on, or is an entry's text
+        if seen == "k" and levels and indent > levels[-1][0]:
+            plain, seen = levels[-1][0], "v"  # the value of the key above
+            continue
         if levels or body[:1] in ("@", "`", "}", "]", ","):
             return True
-        seen = True
+        seen = "x"
     return bool(flow)
 
 
@@ -367,13 +456,12 @@ def exact_broken(lang: str, text: str) -> bool:
     return False
 
 
-def broken(lang: str, text: str, spans: list, state: str, code: str) -> bool:
-    """Whether a whole file breaks the grammar of ``lang``."""
-    if not text.strip():
+def broken(x: lexing.Lexed) -> bool:
+    """Whether a whole file, with the bracket summaries of its chunks, breaks the grammar of its language."""
+    if not x.text.strip():
         return False
-    if state not in ("C", "H") or any(k == "x" for k, _, _ in spans):
+    if x.end[0] not in "CHK" or any(k == "x" for k, _, _ in x.spans):
         return True
-    if lang == "yaml":
-        return _yaml_broken(code)
-    s = summary(lang, classes(lang, code))
-    return top_broken(lang, s) or exact_broken(lang, text)
+    if x.lang == "yaml":
+        return _yaml_broken(lexing.skeleton(x.text, x.spans))
+    return top_broken(x.lang, join(x.lang, x.notes)) or exact_broken(x.lang, x.text)

@@ -1,6 +1,7 @@
 """Natural language inside code (problem 2).
 
-Files are lexed, huge ones in chunks by composed lexer states
+Files are lexed in chunks, whose true states are prefix products of the chunks'
+state maps (:mod:`siltstone.llm.lexing`), huge files by several tasks
 (:mod:`siltstone.llm.stages`). Comments (neighbouring lines are one),
 docstrings and literals (joined ones are one, escapes are read) become
 passages. Each sentence of a passage is labelled by multinomial logistic
@@ -20,7 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import labelled, ngram_model, prose, secrets
+from . import labelled, lexing, ngram_model, prose, secrets
 from .stages import lexed_files, run_batches
 
 #: A sentence's language holds from this probability on.
@@ -133,8 +134,8 @@ def in_files(source_files: DataFrame, model: ngram_model.Model, with_text: bool
     """
     rows = _worker(model, with_text)
 
-    def work(file_id: int, repo: str, lang: str, text: str, spans: list, end: str) -> list[tuple]:
-        return rows(file_id, repo, len(text), texts_of(lang, text, spans))
+    def work(file_id: int, repo: str, x: lexing.Lexed) -> list[tuple]:
+        return rows(file_id, repo, len(x.text), texts_of(x.lang, x.text, x.spans))
 
     return lexed_files(source_files, ["file_id", "repo"], work, SCHEMA)
 

@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
 from . import layout, lexing
 from .stages import lexed_files
 
@@ -36,8 +35,8 @@ def origin(path: str | None, text: str, spans: list, code: str) -> tuple[str | N
     return kind, [{"h": h, "w": w} for h, w in layout.units(squeezed)] if wanted else []
 
 
-def _file(file_id: int, repo: str, path: str, lang: str, text: str, spans: list, end: str) -> list[tuple]:
-    kind, units = origin(path, text, spans, lexing.skeleton(text, spans))
+def _file(file_id: int, repo: str, path: str, x: lexing.Lexed) -> list[tuple]:
+    kind, units = origin(path, x.text, x.spans, lexing.skeleton(x.text, x.spans))
     return [(file_id, repo, path, kind, units)]
 
 
@@ -64,5 +63,5 @@ def with_origin(files: DataFrame) -> DataFrame:
 
 def classify_files(source_files: DataFrame) -> DataFrame:
     """(file_id, repo, path, kind) of every file; ``kind`` is null where it is hand-written."""
-    lexed = cut(lexed_files(source_files, ["file_id", "repo", "path"], _file, SCHEMA))
+    lexed = lexed_files(source_files, ["file_id", "repo", "path"], _file, SCHEMA)
     return with_origin(lexed)

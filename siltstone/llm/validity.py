@@ -1,10 +1,11 @@
 """Source files that do not parse (problem 5).
 
-Chunks of a file are lexed in parallel from the composed lexer states
-(:mod:`siltstone.llm.stages`); brackets are reduced to summaries which join
-associatively; balanced statements are held against local grammars
-(:mod:`siltstone.llm.grammar`). Python and JSON files that pass are parsed
-exactly by the parsers at hand.
+A file is represented by its chunks: maps of lexer states, whose products give
+each chunk its true state (:mod:`siltstone.llm.lexing`), and bracket summaries,
+made of each chunk and reduced associatively (:mod:`siltstone.llm.grammar`).
+Balanced statements are held against local grammars on the way. The parts of a
+huge file are lexed and summed up by several tasks (:mod:`siltstone.llm.stages`).
+Python and JSON files that pass are parsed exactly by the parsers at hand.
 
 Nulls: a row without content, or whose path has no known extension, is not
 judged. Empty files are valid. Repeated rows are each judged. An empty table
@@ -22,13 +23,13 @@ from .stages import lexed_files
 SCHEMA = "file_id bigint, repo string, language string, broken boolean"
 
 
-def _file(file_id: int, repo: str, lang: str, text: str, spans: list, end: str) -> list[tuple]:
-    return [(file_id, repo, lang, grammar.broken(lang, text, spans, end, lexing.skeleton(text, spans)))]
+def _file(file_id: int, repo: str, x: lexing.Lexed) -> list[tuple]:
+    return [(file_id, repo, x.lang, grammar.broken(x))]
 
 
 def judge_files(source_files: DataFrame) -> DataFrame:
     """(file_id, repo, language, broken) of every file with a known extension; ``language`` is that of the extension."""
-    return lexed_files(source_files, ["file_id", "repo"], _file, SCHEMA, sniff=False)
+    return lexed_files(source_files, ["file_id", "repo"], _file, SCHEMA, sniff=False, note=grammar.note)
 
 
 def rates(judged: DataFrame) -> DataFrame:
