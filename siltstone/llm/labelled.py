@@ -12,6 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_rows
 from . import prose
 
 #: Other standards' codes of the languages of ``lang_codes``. Fixed values.
@@ -23,7 +24,7 @@ LINES_PER_DOC = 12
 
 def names_of(lang_codes: DataFrame) -> dict[str, str]:
     """Every spelling of a language -> its code; the table of languages is fixed and small."""
-    rows = lang_codes.select("code", "name").limit(1000).collect()
+    rows = small_rows(lang_codes.select("code", "name"))
     codes = {r["code"].lower(): r["code"] for r in rows if r["code"]}
     return codes | {r["name"].lower(): r["code"] for r in rows if r["name"] and r["code"]} | {k: v for k, v in OTHER_CODES.items() if v in codes}
 

@@ -28,17 +28,19 @@ from .stages import lexed_files, run_batches
 
 #: Shapes of tokens by their issuers, and of private keys. Fixed values.
 STRONG = re.compile(
-    r"(?<![A-Za-z0-9])(?:sk-(?:proj-|ant-|svcacct-)?[A-Za-z0-9_-]{20,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{22,}|glpat-[\w-]{18,}|A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])|AIza[\w-]{30,}|xox[baprs]-[\w-]{10,}|npm_[A-Za-z0-9]{30,}|hf_[A-Za-z0-9]{30,}|SG\.[\w-]{16,}\.[\w-]{16,}|eyJ[\w-]{8,}\.[\w-]{8,}\.[\w-]{8,})"
+    r"(?<![A-Za-z0-9])(?:sk-(?:proj-|ant-|svcacct-)?[A-Za-z0-9_-]{20,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_\w{22,}|glpat-[\w-]{18,}|A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])|AIza[\w-]{30,}|xox[baprs]-[\w-]{10,}|npm_[A-Za-z0-9]{30,}|hf_[A-Za-z0-9]{30,}|(?<![_-])(?:SG\.[\w-]{16,}+\.[\w-]{16,}|eyJ[\w-]{8,}+\.[\w-]{8,}+\.[\w-]{8,}))"
 )
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----(?:.*?-----END (?:[A-Z]+ )*PRIVATE KEY(?: BLOCK)?-----)?", re.S)
-ADDRESS = re.compile(r"[a-z][\w+.-]*://(?P<user>[^\s/:@\"'`<>]*):(?P<v>[^\s/@\"'`]+)@[\w.\[$-]")
+ADDRESS = re.compile(r"(?<![\w+.-])[\w+.-]++://(?P<user>[^\s/:@\"'`<>]*+):(?P<v>[^\s/@\"'`]++)@[\w.\[$-]")
 WORDS = r"(?:pass(?:word|wd|phrase|code)?|pwd|secrets?|token|api[_-]?key|apikey|access[_-]?(?:key|token)|auth[_-]?token|client[_-]?secret|private[_-]?key|credentials?)"
 QUERY = re.compile(rf"[?&](?:\w*{WORDS}|key|sig(?:nature)?|auth)=(?P<v>[^&\s\"'#`]+)", re.I)
 SETTING = re.compile(r"(?:^|[;\s?])(?:password|pwd|accountkey|sharedaccesskey)=(?P<v>[^;\s\"']+)", re.I)
-PAIR = re.compile(rf"(?<![\w$])(?:[\w.-]*?{WORDS}|key|authorization)[\"'\\]*\s*[:=]\s*[\"'\\]*(?:(?:bearer|token|basic)\s+)?(?P<v>[^\s\"'\\,;)}}]+)", re.I)
+PAIR = re.compile(rf"(?:{WORDS}|(?<![\w$])(?:key|authorization|pw))[\"'\\]*+\s*+[:=]\s*+[\"'\\]*+(?:(?:bearer|token|basic)\s+)?(?P<v>[^\s\"'\\,;)}}]+)", re.I)
 SAID = re.compile(rf"\b{WORDS}\s+(?:is\s+)?(?P<v>(?=[^\s\"'`]*\d)(?=[^\s\"'`]*[A-Za-z])[^\s\"'`,;:()=]{{8,}})", re.I)
+#: ``key ...: user / value`` in a comment.
+TOLD = re.compile(rf"\b(?:{WORDS}|key|login)\b[^\n:=]{{0,40}}:\s*[\w.@-]+\s*/\s*(?P<v>(?=[^\s\"'`]*\d)(?=[^\s\"'`]*[A-Za-z])[^\s\"'`,;:()=/]{{8,}})", re.I)
 HEADER = re.compile(r"^(?:Bearer|Token|Basic)\s+(?P<v>[A-Za-z0-9+/=._~-]{12,})$", re.I)
-SENSITIVE = re.compile(rf"(?:^|[^a-z]){WORDS}(?:\d|$|[^a-z])|(?:^|_)(?:auth|authorization|auth_header|signing_key|sign_key|encryption_key|totp_seed|otp_seed|seed|pin|key)$", re.I)
+SENSITIVE = re.compile(rf"(?:^|[^a-z]){WORDS}(?:\d|$|[^a-z])|(?:^|_)(?:auth|authorization|auth_header|signing_key|sign_key|encryption_key|totp_seed|otp_seed|seed|pin|pw|key)$", re.I)
 HARMLESS = re.compile(r"(?:field|hint|name|label|url|uri|len|length|min|max|count|type|param|column|policy|regex|pattern|help|message|msg|id|hash|digest|checksum|path|file|public|expir\w*|ttl|limit|prefix|header_name|endpoint|ref)$", re.I)
 #: What stands for a credential without being one. Fixed values.
 POINTER = re.compile(r"\$\{|\$\(|^\$\w|^%\w+%$|\{\{|^<.*>$|<[\w -]+>|process\.env|os\.environ|getenv|^(?:vault|env|file|secret|ssm|arn|op|kms|keyring|aws-sm|gcp-sm|azure-kv)[:/]", re.I)
@@ -47,7 +49,10 @@ FILLER = re.compile(
     re.I,
 )
 WORD_VALUE = re.compile(r"^[A-Za-z]+(?:[_.-][A-Za-z]+)*$")
-NAMED = re.compile(r"(?:([A-Za-z_$][\w$.-]*)[\"'\]]*\s*(?::\s*[\w<>\[\]?.| ]+)?\s*(?:=>|:=|===?|!==?|[:=])|[\[(,{]\s*([A-Za-z_]\w*)\s*=)\s*(?:new\s+\w+\(|\(|\w{1,2}(?=$)|@)?\s*$")
+#: What every match of ``QUERY``, ``SETTING``, ``PAIR`` and ``SAID`` holds.
+SIGN = re.compile(r"pass|pwd|secret|token|key|credential|auth|sig|pw", re.I)
+NAMED = re.compile(r"(?:(?<![\w$.-])[\d.-]*+([A-Za-z_$][\w$.-]*+)[\"'\]]*\s*(?::\s*[\w<>\[\]?.| ]+)?\s*(?:=>|:=|===?|!==?|[:=])|[\[(,{]\s*([A-Za-z_]\w*)\s*=)\s*(?:new\s+\w+\(|\(|\w{1,2}(?=$)|@)?\s*$")
+PUT = re.compile(r"(?:set\w*|put\w*|add\w*|define|append|header|env)\s*\(\s*[\"']([\w.$-]+)[\"']\s*,\s*$", re.I)
 CALL = re.compile(r"(?:connect|login|log_in|sign_?in|authenticate|auth|set_?password|setBasicAuth|basic_?auth)\s*\(\s*(?:\"[^\"\n]*\"|'[^'\n]*'|[\w.]+)\s*,\s*$", re.I)
 JOINED = re.compile(r"[\s+.&\\(),]*")
 #: What stands in where a reference has no value.
@@ -116,6 +121,13 @@ def sensitive(name: str) -> bool:
 Found = tuple[int, int, str]
 
 
+def _behind_dollar(text: str, at: int) -> bool:
+    """Whether the word around ``at`` is a variable of a shell."""
+    while at > 0 and (text[at - 1].isalnum() or text[at - 1] == "_"):
+        at -= 1
+    return at > 0 and text[at - 1] == "$"
+
+
 def _inside(text: str, base: int, said: bool) -> Iterator[Found]:
     """Credentials within a longer text: tokens, keys, addresses, pairs. Offsets are those of the raw text."""
     # Each test before a pattern is a part that all its matches hold.
@@ -131,14 +143,14 @@ def _inside(text: str, base: int, said: bool) -> Iterator[Found]:
         for m in ADDRESS.finditer(text):
             if usable(m["v"], 4) and m["v"].lower() not in ("password", "pass"):
                 yield base + m.start("v"), base + m.end("v"), "address"
-    if not DIGIT.search(text):
+    if not DIGIT.search(text) or not SIGN.search(text):
         return
     for p in (QUERY, SETTING, PAIR) if "=" in text else (PAIR,) if ":" in text else ():
         for m in p.finditer(text):
-            if usable(m["v"]) and DIGIT.search(m["v"]):
+            if DIGIT.search(m["v"]) and usable(m["v"]) and not (p is PAIR and _behind_dollar(text, m.start())):
                 yield base + m.start("v"), base + m.end("v"), "pair"
-    if said:
-        for m in SAID.finditer(text):
+    for p in (SAID, TOLD) if said else ():
+        for m in p.finditer(text):
             if usable(m["v"], 8):
                 yield base + m.start("v"), base + m.end("v"), "said"
 
@@ -174,6 +186,7 @@ def _flow(text: str, at: int, names: str) -> tuple[list[tuple[str, int, int, str
     return [], at
 
 
+INI_LINE = re.compile(r"^[ \t]*(?:(?P<section>\[\[?[^\]\n]*\]\]?)|(?:export[ \t]+)?(?P<key>[\w.\"'-]+)[ \t]*[:=][ \t]*(?P<value>[^\s][^\n]*?)[ \t]*\r?$)", re.M)
 #: An entry of a list, or a flow collection on a line of its own, without a key.
 ITEM_LINE = re.compile(r"^([ ]*)((?:-[ ]+)+(?![&*!|>%@`#-])|(?=[\[{]))(\S.*)$")
 PAIR_LINE = re.compile(r"^([ ]*)((?:-[ ]+)*)(?!-[ ])(\"[^\"\n]*\"|'[^'\n]*'|[^\s#:\"'{\[][^:\n]*?)[ ]*:(?:[ ]+|$)(.*)$")
@@ -182,8 +195,20 @@ PAIR_LINE = re.compile(r"^([ ]*)((?:-[ ]+)*)(?!-[ ])(\"[^\"\n]*\"|'[^'\n]*'|[^\s
 def config_values(lang: str, text: str) -> Iterator[tuple[str, int, int, str]]:
     """(key path, from, to, value) of every scalar in a YAML or JSON text."""
     path: list[tuple[int, str]] = []
+    if lang == "ini":
+        section = ""
+        for m in INI_LINE.finditer(text):
+            if m["section"]:
+                section = m["section"].strip("[] \"'") + "."
+            elif m["key"] and m["value"]:
+                a, b = m.span("value")
+                if m["value"][0] in "\"'" and m["value"].find(m["value"][0], 1) > 0:
+                    a, b = a + 1, a + m["value"].find(m["value"][0], 1)
+                yield section + m["key"].strip("\"'"), a, b, text[a:b]
+        return
     if lang == "yaml":
         pos = after = 0
+        unclosed = False
         block: tuple[int, int, str] | None = None  # indent, start, path
         for line in text.split("\n"):
             if pos < after:  # within a flow collection over several lines
@@ -210,7 +235,9 @@ def config_values(lang: str, text: str) -> Iterator[tuple[str, int, int, str]]:
             else:
                 value = ""
             if value:
-                if value[0] in "[{" and not value.startswith("{{") and (flow := _flow(text, a, names))[1] > a:
+                flow = _flow(text[:pos + len(line)] if unclosed else text, a, names) if value[0] in "[{" and not value.startswith("{{") else None
+                unclosed = unclosed or flow is not None and flow[1] == a
+                if flow is not None and flow[1] > a:
                     yield from flow[0]
                     after = flow[1]
                 elif re.match(r"[|>][+-]?\d?\s*$", value):
@@ -239,17 +266,42 @@ def config_values(lang: str, text: str) -> Iterator[tuple[str, int, int, str]]:
             yield ".".join([*filter(None, stack), key]), m.start(1), m.end(1), unescape(m[1])
 
 
-def _by_name(text: str, at: int) -> bool:
-    """Whether a literal at ``at`` stands under a sensitive name, or as the password of a call."""
-    before = re.sub(r"\b[fbrFBR]$", "", text[max(0, at - 160) : at].rpartition("\n")[2])
+def _by_name(text: str, spans: list[tuple[str, int, int]], i: int) -> bool:
+    """Whether the literal ``i`` stands under a sensitive name, or as the password of a call.
+
+    The name stands in the same line, behind the literal before the last one.
+    """
+    at = spans[i][1]
+    left = max(text.rfind("\n", spans[i - 1][2] if i else 0, at) + 1, spans[i - 2][2] if i > 1 else 0)
+    before = re.sub(r"\b[fbrFBR]$", "", text[left:at].rpartition("\n")[2])
     name = NAMED.search(before)
-    return bool(name and sensitive(name[1] or name[2]) or CALL.search(before))
+    if name and sensitive(name[1] or name[2]):
+        return True
+    put = PUT.search(before)
+    return bool(put and sensitive(put[1]) or CALL.search(before))
+
+
+BRACKET = re.compile(r"[\];]")
+
+
+class _Joins:
+    """Whether the list that a literal stands in is joined to one string; known for all up to the same bracket."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.upto, self.joined = text, -1, False
+
+    def at(self, pos: int) -> bool:
+        if pos >= self.upto:
+            m = BRACKET.search(self.text, pos)
+            self.upto = m.start() if m else len(self.text)
+            self.joined = bool(m and m[0] == "]" and re.compile(r"\]\s*\.\s*join\(").match(self.text, self.upto))
+        return self.joined
 
 
 def find(lang: str, text: str, spans: list[tuple[str, int, int]]) -> list[list[tuple[int, int, str]]]:
     """Credentials of a text in order, each as its pieces (from, to, kind)."""
     out: list[list[Found]] = []
-    if lang in ("yaml", "json"):
+    if lang in ("yaml", "json", "ini"):
         for names, a, b, value in config_values(lang, text):
             inner = list(_inside(text[a:b], a, False))
             plain = decoded(value)
@@ -260,6 +312,7 @@ def find(lang: str, text: str, spans: list[tuple[str, int, int]]) -> list[list[t
         out += [[x] for k, a, b in spans if k in "lb" for x in _inside(text[a:b], a, True)]
     else:
         i = 0
+        joins = _Joins(text)
         while i < len(spans):
             kind, a, b = spans[i]
             if kind in "lbp":
@@ -274,7 +327,7 @@ def find(lang: str, text: str, spans: list[tuple[str, int, int]]) -> list[list[t
                 continue
             # Joined literals are one value.
             j = i + 1
-            while j < len(spans) and spans[j][0] in "st" and (mid := text[spans[j - 1][2] : spans[j][1]]) is not None and JOINED.fullmatch(mid) and "(" not in mid and ")" not in mid and ("," not in mid or re.match(r"[\"'`\s,\w=+/-]*?\]\s*\.\s*join\(\s*(?:\"\"|'')|[^\n]*\]\s*\.join\(", text[spans[j][2] - 1 : spans[j][2] + 200])):
+            while j < len(spans) and spans[j][0] in "st" and (mid := text[spans[j - 1][2] : spans[j][1]]) is not None and JOINED.fullmatch(mid) and "(" not in mid and ")" not in mid and ("," not in mid or joins.at(spans[j][2])):
                 if mid.strip() == "" and "\n" not in mid and lang not in ("c", "py"):
                     break
                 j += 1
@@ -287,7 +340,7 @@ def find(lang: str, text: str, spans: list[tuple[str, int, int]]) -> list[list[t
             if len(raw) >= 4:
                 value = unescape(raw)
                 plain = decoded(value)
-                whole = usable(value, 6) and _by_name(text, a) or plain and strong(plain) or (m := HEADER.match(value)) and usable(m["v"], 12) and re.search(r"\d", m["v"])
+                whole = usable(value, 6) and _by_name(text, spans, i) or plain and strong(plain) or (m := HEADER.match(value)) and usable(m["v"], 12) and re.search(r"\d", m["v"])
                 if whole:
                     out.append([(p, q, "named") for p, q in pieces])
                 elif j - i == 1 and value == raw:
@@ -320,13 +373,19 @@ def redact(text: str, found: list[list[Found]]) -> str:
     return "".join(out) + text[pos:]
 
 
-def _file(file_id: int, repo: str, lang: str, text: str, spans: list, end: str) -> list[tuple]:
-    return [(file_id, repo, text.count("\n", 0, c[0][0]) + 1, len(text[: c[0][0]].encode("utf-8", "replace")), len(text[: c[-1][1]].encode("utf-8", "replace")), c[0][2]) for c in find(lang, text, spans)]
+def _file(file_id: int, repo: str, x: lexing.Lexed) -> list[tuple]:
+    out, pos, line, size = [], 0, 1, 0
+    for c in find(x.lang, x.text, x.spans):
+        a, b = c[0][0], c[-1][1]
+        before = x.text[pos:a]
+        line, size, pos = line + before.count("\n"), size + len(before.encode("utf-8", "replace")), a
+        out.append((file_id, repo, line, size, size + len(x.text[a:b].encode("utf-8", "replace")), c[0][2]))
+    return out
 
 
-def _redacted(file_id: int, lang: str, text: str, spans: list, end: str) -> list[tuple]:
-    found = find(lang, text, spans)
-    return [(file_id, redact(text, found), len(found))]
+def _redacted(file_id: int, x: lexing.Lexed) -> list[tuple]:
+    found = find(x.lang, x.text, x.spans)
+    return [(file_id, redact(x.text, found), len(found))] if found else []
 
 
 def find_in_files(source_files: DataFrame) -> DataFrame:
@@ -335,7 +394,7 @@ def find_in_files(source_files: DataFrame) -> DataFrame:
 
 
 def redact_files(source_files: DataFrame) -> DataFrame:
-    """(file_id, content, redactions) of every file of a known language."""
+    """(file_id, content, redactions) of every file of a known language in which a credential was replaced."""
     return lexed_files(source_files, ["file_id"], _redacted, "file_id bigint, content string, redactions int")
 
 

@@ -74,9 +74,29 @@ def test_pack_splits_only_larger_documents(spark):
 
 
 def test_budgets_go_to_siblings_first():
-    leaves = [("a", "en", 100), ("a", "de", 10), ("b", "en", 1000)]
-    got = mixing.budgets(leaves, {"a": (0.5, 1), "b": (0.5, 1)}, 400)
-    assert round(got[("a", "en")]) == 100 and round(got[("a", "de")]) == 10 and round(got[("b", "en")]) == 290
+    leaves = [("a", "en", 100), ("a", "de", 10), ("b", "en", 1000), ("c", "en", 1000)]
+    targets = {"a": (0.4, 1), "b": (0.3, 1), "c": (0.3, 1)}
+    got = mixing.budgets(leaves, targets, 400, {"a": "x", "b": "x", "c": "y"})
+    # What a can't take goes to b of its domain; c keeps its share.
+    assert {k: round(v) for k, v in got.items()} == {("a", "en"): 100, ("a", "de"): 10, ("b", "en"): 170, ("c", "en"): 120}
+    # A language that is full leaves its rest to the other languages of its source.
+    got = mixing.budgets([("a", "en", 1000), ("a", "de", 10)], {"a": (1.0, 2)}, 900, {})
+    assert round(got[("a", "de")]) == 20 and round(got[("a", "en")]) == 880
+
+
+def test_plans_never_pass_the_cap():
+    for total in (10, 150, 1000, 5000):
+        for _, _, epochs, rest, _ in mixing.plan_of([("a", "en", 100), ("a", "de", 7), ("b", "en", 31)], {"a": (0.5, 2), "b": (0.5, 3)}, total, {}, 0.7):
+            assert 0 <= epochs <= 3 and rest >= 0
+
+
+def test_dominance_fixes_sets_of_two_and_three():
+    # 9 goes with 1, 6 with 4 exactly; 7 and 3 exactly; nothing fits beside 10.
+    for counts, capacity, want in (({10: 2, 9: 1, 1: 1, 6: 1, 4: 1}, 10, 4), ({5: 1, 3: 2, 2: 2}, 10, 2), ({50: 1, 30: 1, 20: 1, 26: 2}, 100, 2)):
+        used = {first + (r - a) // per for _, a, b, first, per in packing.plan(counts, capacity) for r in range(a, b)}
+        assert len(used) == want
+    assert packing._dominant(50, [20, 26, 30, 50], {50: 1, 30: 1, 20: 1, 26: 1}, 100) == [50, 30, 20]
+    assert packing._dominant(50, [1, 26, 30, 50], {50: 1, 30: 1, 1: 3, 26: 1}, 100) is None
 
 
 LINES = [(t, c) for c, ts in {"en": ["the service stores the rows of the table", "this step only reads the list again"], "de": ["der Dienst speichert die Zeilen der Tabelle", "dieser Schritt liest nur die Liste noch einmal"], "ko": ["이 단계는 목록을 읽기만 하므로 여러 번 실행해도 안전합니다"]}.items() for t in ts * 3]
@@ -95,8 +115,7 @@ def test_prose_lines_leave_code_and_tables_out():
 
 
 def broken(lang, text):
-    spans, end = lexing.lex(lang, text)
-    return grammar.broken(lang, text, spans, end, lexing.skeleton(text, spans))
+    return grammar.broken(lexing.lexed(lang, text, grammar.note))
 
 
 def test_broken_files():
@@ -105,16 +124,6 @@ def test_broken_files():
     assert not broken("go", "package a\n\nfunc f() int {\n\treturn 1\n}\n") and broken("go", "package a\n\nfunc f() int {\n\treturn 1\n")
 
 
-def test_chunks_lex_as_the_whole(spark):
-    text = "/* a */ const s = 'x';\n" * 50 + "/* long\n" + "still comment 'not a string\n" * 80 + "*/\nlet y = \"z\";\n" * 3
-    df = spark.createDataFrame([(1, "a.js", text), (2, "b.js", None), (3, "c.js", ""), (4, "d.bin", "x")], "file_id bigint, path string, content string")
-    fn = lambda i, lang, t, spans, end: [(i, len(spans), sum(b - a for _, a, b in spans))]
-    schema = "file_id bigint, n int, chars int"
-    small = sorted(tuple(r) for r in stages.lexed_files(df, ["file_id"], fn, schema).collect())
-    big = sorted(tuple(r) for r in stages.lexed_files(df, ["file_id"], fn, schema, chunk=400).collect())
-    assert small == big and len(small) == 2
-
-
 def test_noise_takes_only_the_piece_of_code_out_of_unspaced_text():
     for text, left in (
         ("夜間のジョブが出荷を28件ずつまとめて送ります", "夜間のジョブが出荷を 件ずつまとめて送ります"),
@@ -137,9 +146,9 @@ def test_no_file_is_skipped_for_want_of_a_hint():
         ("py", 'x = "gh" + "p_n5ctRmTuBDgBuV0LzLv9arT0U3QDRS"\n'),
         ("js", f'const x = "{b"AIzaSyD4n5ctRmTuBDgBuV0LzLv9arT0U3QDR".hex()}";\n'),
     ):
-        spans, end = lexing.lex(lang, text)
-        assert [r[2] for r in secrets._file(1, "r", lang, text, spans, end)] == [1], text
-        assert "REDACTED" in secrets._redacted(1, lang, text, spans, end)[0][1]
+        x = lexing.lexed(lang, text)
+        assert [r[2] for r in secrets._file(1, "r", x)] == [1], text
+        assert "REDACTED" in secrets._redacted(1, x)[0][1]
 
 
 def test_list_entries_and_flow_scalars_of_settings():
