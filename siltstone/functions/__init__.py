@@ -1 +1,5 @@
+"""Column functions."""
 
+from . import text
+
+__all__ = ["text"]

@@ -9,14 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that say nothing in a query. Fixed values.
-STOP_WORDS = ("the", "and", "or", "in", "on", "at", "to", "for", "of", "is", "it", "an", "be", "as", "by", "with", "from", "that", "this", "are", "was", "has", "have", "not", "but", "can", "will", "all", "its")
+#: Words that say nothing. Fixed values.
+STOP_WORDS = tuple(
+    "a an the is are was were be been being have has had do does did will would could should may might can shall to of in for on with at by from as into through during before after above below between out off over "
+    "under again further then once here there when where why how all each every both few more most other some such no nor not only own same so than too very just because but and or if while about up this that these those "
+    "it its he she they we you me him her us them my your his our their what which".split()
+)
 
 
 def tokens_of(text: Column) -> Column:
     """Lower-case words of two or more of ``[a-z0-9_-]`` that are no stop words; null text gives no tokens."""
-    cleaned = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9_-]+", " ")
-    return F.filter(F.split(cleaned, " "), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
+    cleaned = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^a-z0-9_\s-]", " ")
+    return F.filter(F.split(cleaned, r"\s+"), lambda t: (F.length(t) > 1) & ~t.isin(*STOP_WORDS))
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -64,11 +68,128 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms).otherwise(0.0)
 
 
-def title_boost(title: Column, query: str) -> Column:
-    """1 if the title holds the whole query, else the share of its words that the title holds."""
-    words = query.lower().split()
-    hits = sum((F.lower(title).contains(w).cast("double") for w in words), F.lit(0.0))
-    return F.when(F.lower(title).contains(query.lower()), 1.0).otherwise(hits / len(words))
+#: Title words up to this length are met by their parts; longer ones by their pairs of letters.
+LONG_WORD = 40
+
+
+def _inside_pairs(words: DataFrame, parts: DataFrame) -> DataFrame:
+    """(word, part): every word of ``words`` with each of ``parts`` that it holds, by equality of keys: no pair of all words is made."""
+    short = words.where(F.length("word") <= LONG_WORD)
+    ends = F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.transform(F.sequence(F.lit(2), F.length("word") - i + 1), lambda n: F.substring("word", i, n)))))
+    by_part = short.select("word", ends.alias("part")).distinct().join(parts, "part")
+    long = words.where(F.length("word") > LONG_WORD)
+    letters = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.substring("word", i, F.lit(2)))))
+    by_letters = long.select("word", letters.alias("first")).join(parts.withColumn("first", F.substring("part", 1, 2)), "first").where(F.contains("word", "part"))
+    return by_part.select("word", "part").unionByName(by_letters.select("word", "part"))
+
+
+def title_boosts(docs: DataFrame, queries: DataFrame, key: str = "doc_id", title: str = "title") -> DataFrame:
+    """(query, key, boost) where it is above 0: 1 if the title holds the whole query, else the share of the query's words that hold a title's word or are held by one."""
+    titled = docs.select(key, F.explode(F.array_distinct(tokens_of(F.col(title)))).alias("word"))
+    asked = queries.select("query", F.explode(tokens_of(F.col("text"))).alias("asked"))
+    words, terms = titled.select("word").distinct(), asked.select(F.col("asked").alias("part")).distinct()
+    holds = _inside_pairs(words, terms).select("word", F.col("part").alias("asked"))
+    held = _inside_pairs(terms.withColumnRenamed("part", "word"), words.withColumnRenamed("word", "part")).select(F.col("part").alias("word"), F.col("word").alias("asked"))
+    counts = asked.groupBy("query", "asked").agg(F.count("*").alias("n"))
+    total = counts.groupBy("query").agg(F.sum("n").alias("total"))
+    hits = counts.join(holds.unionByName(held).distinct(), "asked").join(titled, "word").select("query", key, "asked", "n").distinct()
+    share = hits.groupBy("query", key).agg(F.sum("n").alias("hits")).join(total, "query")
+    both = share.join(docs.select(key, title), key).join(queries.select("query", F.col("text").alias("_asked")), "query")
+    whole = F.contains(F.lower(title), F.lower("_asked"))
+    return both.select("query", key, F.when(whole, 1.0).otherwise(F.col("hits") / F.col("total")).alias("boost"))
+
+
+def lexical(docs: DataFrame, queries: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(query, key, lexical): cosine of the TF-IDF vectors where a query (query, text) shares a word with a document; words that no document has weigh 1."""
+    posted = postings(docs, key, text)
+    idfs = idf(posted, docs)
+    w = weights(posted, idfs, key)
+    norms = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    counts = queries.select("query", F.explode(tokens_of(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("n"))
+    top = counts.groupBy("query").agg(F.max("n").alias("top"))
+    q = counts.join(top, "query").join(idfs, "term", "left").select("query", "term", (F.col("n") / F.col("top") * F.coalesce("idf", F.lit(1.0))).alias("qw"))
+    qnorms = q.groupBy("query").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
+    dots = w.join(q, "term").groupBy("query", key).agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
+    return dots.join(norms, key).join(qnorms, "query").select("query", key, (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("lexical"))
+
+
+def hybrid(docs: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, asked: DataFrame | None = None, key: str = "doc_id", vector: str = "embedding", limit: int = 10, threshold: float = 0.1, only: Column | None = None) -> DataFrame:
+    """(query, key, score): the ``limit`` best documents (key, title, content) for each query (query, text).
+
+    The score is 0.7 of the lexical and 0.3 of the title's part; with
+    ``vectors`` (key, vector) and ``asked`` (query, vector) 0.5, 0.2 and 0.3 of
+    the cosine. Documents below ``threshold``, or for which ``only`` does not
+    hold, are left out; ``only`` may name any column of ``docs``. Document
+    frequencies are those of all documents. Scores are rounded to six places;
+    ties go by key.
+    """
+    texts = docs.select(key, "title", F.concat_ws(" ", "title", "content").alias("text"))
+    scored = lexical(texts, queries, key).join(title_boosts(texts, queries, key), ["query", key], "full_outer")
+    if vectors is None:
+        total = 0.7 * F.coalesce("lexical", F.lit(0.0)) + 0.3 * F.coalesce("boost", F.lit(0.0))
+    else:
+        own = vectors.select(key, F.col(vector).alias("_dv"))
+        of_query = asked.select("query", F.col(vector).alias("_qv"))
+        # Of documents without a common word only the nearest ``limit`` by vector can be among the best.
+        kept = own if only is None else own.join(docs.where(only).select(key), key, "left_semi")
+        near = nearest(kept.withColumnRenamed("_dv", vector), asked.select(F.col("query").alias(key), vector), key, vector, limit)
+        scored = scored.join(near.select("query", key), ["query", key], "full_outer").join(own, key, "left").join(of_query, "query", "left")
+        e = F.when(F.col("_dv").isNull() | F.col("_qv").isNull(), 0.0).otherwise(cosine(F.col("_dv"), F.col("_qv")))
+        total = 0.5 * F.coalesce("lexical", F.lit(0.0)) + 0.2 * F.coalesce("boost", F.lit(0.0)) + 0.3 * e
+    rows = scored.select("query", key, F.round(total, 6).alias("score")).where(F.col("score") >= threshold)
+    if only is not None:
+        rows = rows.join(docs.where(only).select(key), key, "left_semi")
+    return best(rows, key, limit)
+
+
+def with_fallback(found: DataFrame, near: DataFrame, key: str = "doc_id", limit: int = 10, least: float = 0.3) -> DataFrame:
+    """``found`` filled up, where a query has fewer than ``limit`` hits, with rows of ``near`` whose cosine is above ``least``; then ranked anew."""
+    few = near.select("query").distinct().join(found.groupBy("query").agg(F.count("*").alias("n")), "query", "left").where(F.coalesce("n", F.lit(0)) < limit).select("query")
+    more = near.where(F.col("score") > least).join(few, "query", "left_semi").join(found.select("query", key), ["query", key], "left_anti")
+    return best(found.unionByName(more), key, limit)
+
+
+def suggest(idfs: DataFrame, partial: DataFrame, limit: int = 5) -> DataFrame:
+    """(query, suggestion): for each partial query (query, text) the ``limit`` rarest terms that complete its last word, behind its other words; ties by term."""
+    words = partial.select("query", tokens_of(F.col("text")).alias("words")).where("size(words) > 0")
+    asked = words.select("query", F.try_element_at("words", F.lit(-1)).alias("last"), F.array_join(F.slice("words", 1, F.greatest(F.lit(0), F.size("words") - 1)), " ").alias("first"))
+    # A term meets the words that it begins with by equality.
+    starts = idfs.select("term", "idf", F.explode(F.transform(F.sequence(F.lit(2), F.length("term") - 1), lambda n: F.substring("term", 1, n))).alias("last"))
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("idf", 6)), "term"))
+    found = asked.join(starts.where(F.length("term") > 2), "last").withColumn("rank", rank).where(F.col("rank") <= limit)
+    return found.select("query", F.when(F.col("first") == "", F.col("term")).otherwise(F.concat_ws(" ", "first", "term")).alias("suggestion"))
+
+
+def vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(term, first_doc, position): each term with where it stands first, by key and place; that order is the vocabulary's."""
+    placed = docs.select(key, F.posexplode(tokens_of(F.col(text))).alias("position", "term"))
+    first = placed.groupBy("term").agg(F.min(F.struct(F.col(key), F.col("position"))).alias("at"))
+    return first.select("term", F.col(f"at.{key}").alias("first_doc"), F.col("at.position").alias("position"))
+
+
+def highlights(docs: DataFrame, words: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, positions, snippet): all places of the words, word by word, overlapping ones too, and the text around the first."""
+    low = F.lower(text)
+    places = [F.array().cast("array<int>")]
+    for w in words:
+        every = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - len(w) + 1))
+        places.append(F.when(F.contains(low, F.lit(w)), F.filter(every, lambda i: F.substring(low, i, F.lit(len(w))) == w)).otherwise(F.array().cast("array<int>")))  # noqa: B023
+    found = docs.select(key, text, F.concat(*places).alias("at")).where("size(at) > 0")
+    p = F.element_at("at", 1)
+    start, end = F.greatest(F.lit(1), p - 40), F.least(F.length(text), p + 119)
+    snippet = F.concat(F.when(p > 41, "...").otherwise(""), F.col(text).substr(start, end - start + 1), F.when(p + 119 < F.length(text), "...").otherwise(""))
+    return found.select(key, F.array_join("at", ",").alias("positions"), snippet.alias("snippet"))
+
+
+def client_search(pages: DataFrame, query: str, key: str = "doc_id", limit: int = 8) -> DataFrame:
+    """(key, score) of the best pages (key, title, text, headings): 10 for the title, 1 for the text, 5 for each heading that holds the query; shorter queries than two letters find nothing."""
+    if len(query) < 2:
+        return pages.select(key, F.lit(0).cast("bigint").alias("score")).where("false")
+    q = query.lower()
+    holds = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(q)), F.lit(False)).cast("bigint")
+    headings = F.coalesce(F.size(F.filter("headings", lambda h: F.contains(F.lower(h), F.lit(q)))), F.lit(0))
+    score = 10 * holds(F.col("title")) + holds(F.col("text")) + 5 * F.greatest(F.lit(0), headings).cast("bigint")
+    return pages.select(key, score.alias("score")).where("score > 0").orderBy(F.desc("score"), key).limit(limit)
 
 
 #: Vectors of a block by ids: so many queries meet so many rows in one product.

@@ -5,112 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import search
 from ..tables import read
+from .base import Book
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
-ASKED = ["orders", "region", "limit"]
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-STOP = ", ".join(f"'{w}'" for w in search.STOP_WORDS)
-POSTED = f"""
-with words as (select doc_id, unnest(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_-]+', ' ', 'g'), ' ')) as term from documents),
-posted as (select doc_id, term, count(*) as n from words where length(term) > 1 and term not in ({STOP}) group by all),
-idfs as (select term, count(*) as df, ln(((select count(*) from documents) + 1) / (count(*) + 1)) + 1 as idf from posted group by term)
-"""
-
-
-@query(POSTED + "select term, df, round(idf, 6) as idf from idfs")
-def search_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document frequency and idf of every term."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return search.idf(search.postings(docs, "doc_id", "text"), docs).withColumn("idf", F.round("idf", 6))
-
-
-@query(
-    POSTED
-    + """, q as (select term, coalesce(idf, 1) as qw from (select unnest(['orders', 'region', 'limit']) as term) left join idfs using (term)),
-w as (select p.doc_id, p.term, p.n / max(p.n) over (partition by p.doc_id) * i.idf as w from posted p join idfs i using (term))
-select doc_id, round(sum(w * qw) / (sqrt(sum(w * w)) * (select sqrt(sum(qw * qw)) from q)), 6) as score
-from w left join q using (term) group by doc_id having sum(w * qw) is not null order by score desc, doc_id limit 10"""
-)
-def search_tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best documents for a query by TF-IDF cosine."""
-    return search.search(read(spark, sf_dir, "documents").select("doc_id", "text"), ASKED)
-
-
-@query(
-    """select vec_id, label, round(list_cosine_similarity(embedding::double[], (select embedding::double[] from embeddings where vec_id = (select min(vec_id) from embeddings))), 5) as score
-from embeddings order by score desc, vec_id limit 20"""
-)
-def search_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty vectors nearest to the first one."""
-    vectors = read(spark, sf_dir, "embeddings")
-    asked = vectors.agg(F.min_by("embedding", "vec_id").alias("q"))
-    return vectors.join(F.broadcast(asked)).select("vec_id", "label", F.round(search.cosine(F.col("embedding"), F.col("q")), 5).alias("score")).orderBy(F.desc("score"), "vec_id").limit(20)
-
-
-@query(
-    """select query, vec_id, score from (select q.vec_id as query, e.vec_id as vec_id, round(list_cosine_similarity(e.embedding::double[], q.embedding::double[]), 5) as score
-from embeddings e, embeddings q where q.vec_id % 100 = 0) qualify row_number() over (partition by query order by score desc, vec_id) <= 20"""
-)
-def search_embedding_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The twenty vectors nearest to each one whose id is divisible by 100."""
-    vectors = read(spark, sf_dir, "embeddings")
-    return search.nearest(vectors, vectors.where("vec_id % 100 = 0"), "vec_id", "embedding")
-
-
-@query(
-    POSTED
-    + """, w as (select p.doc_id, p.term, p.n / max(p.n) over (partition by p.doc_id) * i.idf as w from posted p join idfs i using (term)),
-u as (select doc_id, term, w / sqrt(sum(w * w) over (partition by doc_id)) as w from w)
-select query, doc_id, score from (select q.doc_id as query, u.doc_id as doc_id, round(sum(u.w * q.w), 6) as score from u join u q using (term) where q.doc_id % 100 = 0 group by all)
-qualify row_number() over (partition by query order by score desc, doc_id) <= 10"""
-)
-def search_related_each(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best documents by TF-IDF cosine for the text of each document whose id is divisible by 100."""
-    return search.related(read(spark, sf_dir, "documents").select("doc_id", "text"), F.col("doc_id") % 100 == 0)
-
-
-@query(
-    """select doc_id, case when contains(lower(t), 'orders region') then 1.0::double else (contains(lower(t), 'orders')::int + contains(lower(t), 'region')::int) / 2.0::double end as boost
-from (select doc_id, string_split(text, chr(10))[1] as t from documents where text is not null)"""
-)
-def search_title_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boost of each document by its first line."""
-    docs = read(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", search.title_boost(F.substring_index("text", "\n", 1), "orders region").alias("boost"))
-
-
-@query(POSTED + "select term, round(idf, 6) as idf from idfs where starts_with(term, 'or') and term <> 'or' order by idfs.idf desc, term limit 5")
-def search_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five rarest terms that complete a prefix."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = search.idf(search.postings(docs, "doc_id", "text"), docs).where(F.col("term").startswith("or") & (F.col("term") != "or"))
-    return found.orderBy(F.desc("idf"), "term").limit(5).select("term", F.round("idf", 6).alias("idf"))
-
-
-@query(
-    """select doc_id, case when p > 41 then '...' else '' end || substr(text, greatest(1, p - 40), least(length(text), p + 119) - greatest(1, p - 40) + 1) || case when p + 119 < length(text) then '...' else '' end as snippet
-from (select doc_id, text, strpos(lower(text), 'region') as p from documents) where p > 0"""
-)
-def search_highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snippet around the first hit of a word."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.instr(F.lower("text"), "region").alias("p")).where("p > 0")
-    start, end = F.greatest(F.lit(1), F.col("p") - 40), F.least(F.length("text"), F.col("p") + 119)
-    snippet = F.concat(F.when(F.col("p") > 41, "...").otherwise(""), F.col("text").substr(start, end - start + 1), F.when(F.col("p") + 119 < F.length("text"), "...").otherwise(""))
-    return docs.select("doc_id", snippet.alias("snippet"))
+BOOK = Book()
+QUERIES, ORACLE, query = BOOK.queries, BOOK.oracle, BOOK.query
 
 
 @query("select coalesce(lang, 'unknown') as language, count(*) as files, cast(round(100.0 * count(*) / sum(count(*)) over ()) as bigint) as percent from documents group by 1")
@@ -169,10 +68,12 @@ def group_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.groupBy(F.when((F.col("n") >= 20) & (F.col("name") != ""), F.col("name")).otherwise("Other").alias("name")).agg(F.sum("n").alias("members"))
 
 
-@query("select c_custkey from customer anti join orders on c_custkey = o_custkey")
+@query("select distinct e.project, e.path from endpoints e anti join source_files f on e.project = f.repo and e.filePath = f.path where e.path is not null and e.filePath is not null")
 def group_ungrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers without orders."""
-    return read(spark, sf_dir, "customer").join(read(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    """Endpoints whose file is not among the source files."""
+    endpoints = read(spark, sf_dir, "endpoints").where("path is not null and filePath is not null").select("project", "path", "filePath")
+    files = read(spark, sf_dir, "source_files").select(F.col("repo").alias("project"), F.col("path").alias("filePath"))
+    return endpoints.join(files, ["project", "filePath"], "left_anti").select("project", "path").distinct()
 
 
 @query("select l_suppkey, count(distinct l_partkey) as parts from lineitem group by 1 order by parts desc, l_suppkey limit 15")

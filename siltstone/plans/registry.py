@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import core_queries, snapshot_queries
+from . import core_queries, search_queries, snapshot_queries, text_queries, version_queries
 
-PARTS = (core_queries, snapshot_queries)
+PARTS = (core_queries, search_queries, snapshot_queries, version_queries, text_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q for part in PARTS for name, q in part.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for part in PARTS for name, sql in part.ORACLE.items()}
