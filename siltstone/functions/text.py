@@ -129,7 +129,7 @@ def format_bytes(n: Column) -> Column:
     """``1.5 KB``: the largest unit of 1,024 below the size, two decimals at most."""
     units = F.array(*[F.lit(u) for u in ("Bytes", "KB", "MB", "GB", "TB", "PB")])
     i = F.when(n > 0, F.floor(F.log(n.cast("double")) / F.log(F.lit(1024.0)) + 1e-12)).otherwise(0).cast("int")
-    size = F.regexp_replace(F.format_string("%.2f", n / F.pow(F.lit(1024.0), i)), r"\.?0+$", "")
+    size = F.regexp_replace(F.format_string("%.2f", F.round(n / F.pow(F.lit(1024.0), i), 2)), r"\.?0+$", "")
     return F.when(n == 0, "0 Bytes").otherwise(F.concat(size, F.lit(" "), F.element_at(units, i + 1)))
 
 
@@ -141,7 +141,7 @@ def short_path(c: Column) -> Column:
 def module_of(path: Column) -> Column:
     """The folder right above a file, or ``root``."""
     parts = F.split(path, "/")
-    return F.when(F.size(parts) >= 2, F.get(parts, F.size(parts) - 2)).otherwise("root")
+    return F.when(path.isNotNull(), F.when(F.size(parts) >= 2, F.get(parts, F.size(parts) - 2)).otherwise("root"))
 
 
 def segment_after(path: Column, folder: str) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -170,11 +172,16 @@ def vocabulary(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 def highlights(docs: DataFrame, words: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, positions, snippet): all places of the words, word by word, overlapping ones too, and the text around the first."""
     low = F.lower(text)
-    places = [F.array().cast("array<int>")]
-    for w in words:
-        every = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(low) - len(w) + 1))
-        places.append(F.when(F.contains(low, F.lit(w)), F.filter(every, lambda i: F.substring(low, i, F.lit(len(w))) == w)).otherwise(F.array().cast("array<int>")))  # noqa: B023
-    found = docs.select(key, text, F.concat(*places).alias("at")).where("size(at) > 0")
+
+    def places(word: str) -> Column:
+        """Where the word begins, from 1 on: the text is split before each of its places, so that the pieces' lengths add up to them."""
+        pieces = F.split(low, "(?=" + re.sub(r"(\W)", r"\\\1", word) + ")")
+        start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("at"))
+        step = lambda acc, x: F.struct((acc["next"] + F.length(x)).alias("next"), F.when((acc["next"] > 1) | F.startswith(low, F.lit(word)), F.array_append(acc["at"], acc["next"])).otherwise(acc["at"]).alias("at"))
+        return F.aggregate(pieces, start, step, lambda acc: acc["at"])
+
+    held = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+    found = docs.where(held).select(key, text, F.concat(*[places(w) for w in words]).alias("at"))
     p = F.element_at("at", 1)
     start, end = F.greatest(F.lit(1), p - 40), F.least(F.length(text), p + 119)
     snippet = F.concat(F.when(p > 41, "...").otherwise(""), F.col(text).substr(start, end - start + 1), F.when(p + 119 < F.length(text), "...").otherwise(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -61,8 +61,6 @@ def page_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings of the documents with anchors that are unique in each document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(HEADING), 1)).alias("i", "raw"))
     heads = docs.select("doc_id", (F.col("i") + 1).cast("bigint").alias("pos"), F.trim("raw", F.lit(" \r")).alias("heading")).withColumn("slug", T.slug(F.col("heading")))
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("doc_id", "slug").orderBy("pos"))
     return heads.withColumn("n", n).select("doc_id", "pos", "heading", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), (F.col("n") - 1).cast("string"))).alias("anchor"))
 
@@ -124,7 +122,7 @@ def type_fields_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @BOOK.query(
     r"""select file_id, length(regexp_replace(regexp_replace(content, '(?s)/\*.*?\*/', '', 'g'), '//[^\n]*', '', 'g')) as code_chars, case when length(content) = 0 then '0 Bytes' else
-regexp_replace(printf('%.2f', length(content) / pow(1024.0, floor(ln(length(content)) / ln(1024.0) + 1e-12))), '\.?0+$', '') || ' ' || (['Bytes', 'KB', 'MB', 'GB', 'TB', 'PB'])[floor(ln(length(content)) / ln(1024.0) + 1e-12)::int + 1] end as size from source_files where content is not null"""
+regexp_replace(printf('%.2f', round(length(content) / pow(1024.0, floor(ln(length(content)) / ln(1024.0) + 1e-12)), 2)), '\.?0+$', '') || ' ' || (['Bytes', 'KB', 'MB', 'GB', 'TB', 'PB'])[floor(ln(length(content)) / ln(1024.0) + 1e-12)::int + 1] end as size from source_files where content is not null"""
 )
 def scan_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Characters without comments, and the size in words, of every file."""

@@ -1 +1,5 @@
+"""Sources and sinks."""
 
+from . import files
+
+__all__ = ["files"]

@@ -1 +1,5 @@
+"""Structured Streaming operators."""
 
+from . import watch
+
+__all__ = ["watch"]
