@@ -119,11 +119,12 @@ class Profiles:
         """Cosines of each line with each prototype, and the letters of each line."""
         line, code, n, letters = grams(lines)
         total = np.zeros((len(lines), len(self.langs)), np.float64)
-        norm = np.bincount(line, weights=n.astype(np.float64) ** 2, minlength=len(lines)) * DIMENSIONS
+        norm = np.zeros(len(lines))
         if len(code):
-            dots = self._dots_of(code) * n[:, None]
-            for k in range(len(self.langs)):
-                total[:, k] = np.bincount(line, weights=dots[:, k], minlength=len(lines))
+            # The n-grams of a line stand together.
+            at = np.flatnonzero(np.diff(line, prepend=-1))
+            total[line[at]] = np.add.reduceat(self._dots_of(code) * n[:, None].astype(np.float32), at, axis=0)
+            norm[line[at]] = np.add.reduceat(n.astype(np.float64) ** 2, at) * DIMENSIONS
         return total / np.sqrt(np.maximum(norm, 1.0))[:, None], letters
 
     def _dots_of(self, codes: np.ndarray) -> np.ndarray:

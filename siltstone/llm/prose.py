@@ -8,6 +8,8 @@ CJK = re.compile(r"[ᄀ-ᇿ぀-ヿ㄰-㆏㐀-䶿一-鿿가-힯豈-﫿ｦ-ﾟ]")
 WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 #: A passage counts from so many words on, in Korean, Japanese and Chinese from so many letters on.
 LEAST_WORDS, LEAST_LETTERS = 4, 8
+#: ``LEAST_WORDS`` words, one after another; stops at the last of them.
+FOUR_WORDS = re.compile(rf"(?:[^\W\d_]++(?:['’-][^\W\d_]++)*+[\W\d_]++){{{LEAST_WORDS - 1}}}[^\W\d_]")
 
 MARKS = re.compile(r"^[ \t]*(?:/\*+!?|\*+/|//+[/!]?|#+(?!\[)|\*(?!\*)|\"\"\"|'''|--+)?[ \t]?|[ \t]*\*+/[ \t]*$", re.M)
 TAG_LINE = re.compile(r"^[ \t]*(?:\{@[^}]*\}|[@\\][A-Za-z]\w*\b[^\n]*|:(?:param|return|returns|rtype|raises|type|arg|keyword|yields?)\b[^\n]*)[ \t]*$", re.M)
@@ -26,8 +28,8 @@ def without_tags(text: str) -> str:
 
 def is_passage(text: str) -> bool:
     """Whether ``text`` is long enough to be a passage."""
-    if text.isascii():
-        return len(WORD.findall(text)) >= LEAST_WORDS
+    if text.isascii() or not CJK.search(text):
+        return FOUR_WORDS.search(text) is not None
     return len(CJK.findall(text)) >= LEAST_LETTERS or sum(1 for w in WORD.findall(text) if not CJK.match(w)) >= LEAST_WORDS
 
 
