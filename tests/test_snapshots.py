@@ -50,3 +50,18 @@ def test_idf(spark):
     docs = spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, None)], "doc_id bigint, text string").where("text is not null")
     found = {r["term"]: round(r["idf"], 6) for r in search.idf(search.postings(docs, "doc_id", "text"), docs).collect()}
     assert found == {"alpha": 1.0, "beta": 1.405465}
+
+
+def test_stored_ordinals_stay(spark):
+    schema = "row_id bigint, received_at bigint, project string, snapshot_no int, key string, mark bigint"
+    rows = spark.createDataFrame([(1, 1, "p", 2, "b", 1), (2, 1, "p", 2, "c", 1), (3, 1, "p", 4, "b", 2)], schema)
+    known = snapshots.ordinals(rows)
+    before = {r["key"]: r["ordinal"] for r in known.collect()}
+    assert sorted(before.values()) == [0, 1]
+    # A late row of an old snapshot brings a new key: it comes behind the known ones.
+    late = rows.union(spark.createDataFrame([(4, 2, "p", 1, "a", 1), (5, 2, "q", 1, "z", 1)], schema))
+    after = {(r["project"], r["key"]): r["ordinal"] for r in snapshots.ordinals(late.where("key <> 'c'"), known).collect()}
+    assert after == {("p", "b"): before["b"], ("p", "c"): before["c"], ("p", "a"): 2, ("q", "z"): 0}
+    want = {("p", 2, "a", "removed"), ("p", 2, "b", "added"), ("p", 2, "c", "added"), ("p", 4, "c", "removed"), ("p", 4, "b", "modified")}
+    for stored in (None, known):
+        assert {tuple(r) for r in snapshots.diff_snapshots(late, known=stored).collect()} == want
