@@ -142,3 +142,74 @@ def api_diagram(endpoints: DataFrame, limit: int = 20) -> DataFrame:
     handlers = line(shown.select("project", "owner").distinct(), F.col("owner"), F.lit(""), F.concat(F.lit("    "), handler, F.lit('(["'), F.col("owner"), F.lit('"])')))
     edges = line(shown, F.col("id"), F.lit(""), F.concat(F.lit("    "), F.col("node"), F.lit(" --> "), handler), True)
     return diagram("flowchart LR", inside, handlers, edges)
+
+
+def sequence_diagram(endpoints: DataFrame, limit: int = 10) -> DataFrame:
+    """Calls from a client over handlers to services and back, an endpoint after the other."""
+    shown = first_nodes(endpoints, "id", limit)
+    handler, service = T.sanitize_id(F.coalesce("handlerClass", F.lit("undefined"))), T.sanitize_id(F.col("serviceRef"))
+    members = shown.select("project", handler.alias("n")).union(shown.where("serviceRef is not null").select("project", service)).distinct()
+    heads = line(shown.select("project").distinct(), F.lit(""), F.lit(""), F.lit("    participant Client")).unionByName(line(members, F.lit("1"), F.col("n"), F.concat(F.lit("    participant "), "n")))
+    text = lambda c: F.coalesce(F.col(c), F.lit("undefined"))
+    method, place = F.coalesce("httpMethod", "operationType", F.lit("CALL")), F.coalesce("path", "fieldName", "name", F.lit("undefined"))
+    steps = [(True, F.concat(F.lit("    Client->>+"), handler, F.lit(": "), method, F.lit(" "), place)), (False, F.concat(F.lit("    "), handler, F.lit("->>+"), service, F.lit(": "), text("handler"), F.lit("()"))), (False, F.concat(F.lit("    "), service, F.lit("-->>-"), handler, F.lit(": "), text("returnType"))), (True, F.concat(F.lit("    "), handler, F.lit("-->>-Client: "), F.when(F.col("httpMethod").isNotNull(), "200 OK").otherwise(text("returnType"))))]
+    calls = None
+    for i, (always, step) in enumerate(steps):
+        one = line(shown if always else shown.where("serviceRef is not null"), F.col("id"), F.lit(str(i)), step, True)
+        calls = one if calls is None else calls.unionByName(one)
+    return diagram("sequenceDiagram", heads, calls)
+
+
+def architecture_diagram(endpoints: DataFrame, services: DataFrame, entities: DataFrame, most_services: int = 15, most_entities: int = 10) -> DataFrame:
+    """Layers: client, handling classes with their counts by protocol, services, entities, and the edges between them."""
+    name = T.sanitize_id(F.col("name"))
+    count = lambda p, label: F.when(F.count_if(F.col("protocol") == p) > 0, F.concat(F.lit("<br/>"), F.count_if(F.col("protocol") == p).cast("string"), F.lit(f" {label}"))).otherwise("")
+    classes = endpoints.where("project is not null").groupBy("project", F.coalesce("handlerClass", F.lit("undefined")).alias("name")).agg(count("rest", "REST").alias("rest"), count("graphql", "GraphQL").alias("graphql"))
+
+    def layer(df: DataFrame, title: str, text: Column) -> DataFrame:
+        own = df.select("project").distinct()
+        return line(own, F.lit("0"), F.lit(""), F.lit(f"    subgraph {title}")).unionByName(line(df, F.lit("1"), F.col("name"), text)).unionByName(line(own, F.lit("2"), F.lit(""), F.lit("    end")))
+
+    client = layer(classes.select("project").distinct().withColumn("name", F.lit("CLIENT")), 'Client["Client Layer"]', F.lit('        CLIENT["Client / Browser"]'))
+    api = layer(classes, 'API["API Layer"]', F.concat(F.lit("        "), name, F.lit('["'), "name", "rest", "graphql", F.lit('"]')))
+    logic = layer(first_nodes(services, "name", most_services), 'Services["Service Layer"]', F.concat(F.lit("        "), name, F.lit('["'), "name", F.lit("<br/>"), F.size("methods").cast("string"), F.lit(' methods"]')))
+    data = layer(first_nodes(entities, "name", most_entities), 'Data["Data Layer"]', F.concat(F.lit("        "), name, F.lit('[("'), "name", F.lit("<br/>"), "tableName", F.lit('")]')))
+    calls = line(classes, F.col("name"), F.lit(""), F.concat(F.lit("    CLIENT --> "), name), True)
+    refs = endpoints.where("serviceRef is not null and project is not null").select("project", T.sanitize_id(F.coalesce("handlerClass", F.lit("undefined"))).alias("s"), T.sanitize_id(F.col("serviceRef")).alias("t")).distinct()
+    held = service_edges(services).join(entities.select("project", F.col("name").alias("target")), ["project", "target"], "left_semi").select("project", T.sanitize_id(F.col("source")).alias("s"), T.sanitize_id(F.col("target")).alias("t"))
+    edge = lambda df: line(df, F.col("s"), F.col("t"), F.concat(F.lit("    "), "s", F.lit(" --> "), "t"), True)
+    return diagram("flowchart TB", client, api, logic, data, calls, edge(refs), edge(held))
+
+
+def dependency_diagram(edges: DataFrame, nodes: DataFrame, limit: int = 80) -> DataFrame:
+    """The first ``limit`` edges (project, source, target) with their nodes (project, node, module) by module."""
+    shown = edges.withColumn("_n", F.row_number().over(Window.partitionBy("project").orderBy("source", "target"))).where(F.col("_n") <= limit).drop("_n")
+    ends = shown.select("project", F.col("source").alias("node")).union(shown.select("project", "target")).distinct().join(nodes.select("project", "node", "module"), ["project", "node"], "left").withColumn("module", F.coalesce("module", F.lit("other")))
+    groups = ends.select("project", "module").distinct()
+    inside = line(groups, F.col("module"), F.lit("0"), F.concat(F.lit("    subgraph "), T.sanitize_id(F.col("module")), F.lit('["'), "module", F.lit('"]')))
+    inside = inside.unionByName(line(ends, F.col("module"), F.concat(F.lit("1"), "node"), F.concat(F.lit("        "), T.sanitize_id(F.col("node")), F.lit('["'), "node", F.lit('"]')))).unionByName(line(groups, F.col("module"), F.lit("2"), F.lit("    end")))
+    return diagram("flowchart LR", inside, line(shown, F.col("source"), F.col("target"), F.concat(F.lit("    "), T.sanitize_id(F.col("source")), F.lit(" -.-> "), T.sanitize_id(F.col("target"))), True))
+
+
+def domains(endpoints: DataFrame, entities: DataFrame, least: int = 2) -> DataFrame:
+    """(project, domain, endpoints, entities): endpoints by the first segment of their path, each entity in the first domain by name that holds its name or that it holds, else in its own; domains with fewer than ``least`` members fold into ``Other``."""
+    first = F.coalesce(F.nullif(F.get(F.filter(F.split(F.coalesce("path", "fieldName", F.lit("")), "/"), lambda x: F.length(x) > 0), 0), F.lit("")), F.lit("Other"))
+    groups = endpoints.where("project is not null").groupBy("project", T.capitalize(first).alias("domain")).agg(F.count("*").alias("endpoints"))
+    names = entities.select("project", "name").distinct().withColumn("low", F.lower("name"))
+    known = groups.select("project", "domain").withColumn("low", F.lower("domain"))
+    words, parts = names.select(F.col("low").alias("word")).distinct(), known.select(F.col("low").alias("part")).distinct()
+    holds = _inside_pairs(words, parts).select(F.col("word").alias("name_low"), F.col("part").alias("domain_low"))
+    held = _inside_pairs(parts.withColumnRenamed("part", "word"), words.withColumnRenamed("word", "part")).select(F.col("part").alias("name_low"), F.col("word").alias("domain_low"))
+    met = names.withColumnRenamed("low", "name_low").join(holds.unionByName(held).distinct(), "name_low").join(known.withColumnRenamed("low", "domain_low"), ["project", "domain_low"]).groupBy("project", "name").agg(F.min("domain").alias("domain"))
+    placed = names.join(met, ["project", "name"], "left").select("project", F.coalesce("domain", T.capitalize(F.col("name"))).alias("domain")).groupBy("project", "domain").agg(F.count("*").alias("entities"))
+    both = groups.join(placed, ["project", "domain"], "full_outer").fillna(0, ["endpoints", "entities"])
+    folded = F.when(F.col("endpoints") + F.col("entities") >= least, F.col("domain")).otherwise("Other")
+    return both.groupBy("project", folded.alias("domain")).agg(F.sum("endpoints").alias("endpoints"), F.sum("entities").alias("entities"))
+
+
+def props_of(types: DataFrame) -> DataFrame:
+    """(project, component, props): the type of a component's properties, ``NameProps`` before ``NameProperty``."""
+    names = types.select("project", F.col("name").alias("component")).where("component is not null").distinct()
+    props = names.select("project", F.col("component").alias("props"), F.explode(F.array(F.struct(F.lit(0).alias("order"), F.lit("Props").alias("end")), F.struct(F.lit(1).alias("order"), F.lit("Property").alias("end")))).alias("e"))
+    props = props.where(F.endswith("props", F.col("e.end"))).select("project", "props", "e.order", F.expr("substr(props, 1, length(props) - length(e.end))").alias("component"))
+    return names.join(props, ["project", "component"]).groupBy("project", "component").agg(F.min_by("props", "order").alias("props"))

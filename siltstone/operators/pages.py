@@ -95,3 +95,36 @@ def resolved(links: DataFrame, slugs: DataFrame, key: str = "doc_id") -> DataFra
     inside = starts.groupBy("folder").agg(F.min("slug").alias("first"))
     out = asked.join(known.withColumn("want", F.col("slug")), "want", "left").join(known.select(F.col("slug").alias("of_index"), F.regexp_replace("slug", "/index$", "").alias("want")).where("of_index <> want"), "want", "left").join(inside.withColumnRenamed("folder", "want"), "want", "left")
     return out.select(key, "link", F.coalesce("slug", "of_index", "first", F.lit("index")).alias("target"))
+
+
+def service_pages(services: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project, path, title, position, content): a page per service with its methods, what it depends on and what uses it; positions from 300 on."""
+    users = edges.groupBy("project", F.col("target").alias("name")).agg(F.array_sort(F.collect_set("source")).alias("users"))
+    row = services.join(users, ["project", "name"], "left")
+    listed = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(f"## {title}\n\n"), F.array_join(F.transform(c, lambda x: F.concat(F.lit("- `"), x, F.lit("`"))), "\n"), F.lit("\n\n"))).otherwise("")
+    place = F.row_number().over(Window.partitionBy("project").orderBy("name")) + 299
+    text = F.concat(F.lit("# "), "name", F.lit("\n\n"), listed("Methods", F.col("methods")), listed("Dependencies", F.col("dependencies")), listed("Used by", F.coalesce("users", F.array().cast("array<string>"))))
+    return row.select("project", F.concat(F.lit("hooks/"), T.to_kebab(F.col("name")), F.lit(".md")).alias("path"), F.col("name").alias("title"), place.alias("position"), text.alias("content"))
+
+
+def entity_pages(entities: DataFrame) -> DataFrame:
+    """(project, path, title, position, content): a page per entity with tables of its columns and relations; positions from 100 on."""
+    cell = lambda c: T.escape_markdown(F.coalesce(c, F.lit("")))
+    columns = F.when(F.size("columns") > 0, F.concat(F.lit("| Column | Type | Nullable |\n|---|---|---|\n"), F.array_join(F.transform("columns", lambda c: F.concat(F.lit("| "), cell(c["name"]), F.lit(" | `"), cell(c["type"]), F.lit("` | "), F.when(c["nullable"], "✓").otherwise(""), F.lit(" |\n"))), ""))).otherwise("")
+    relations = F.when(F.size("relations") > 0, F.concat(F.lit("\n| Relation | Target |\n|---|---|\n"), F.array_join(F.transform("relations", lambda r: F.concat(F.lit("| "), cell(r["type"]), F.lit(" | `"), cell(r["target"]), F.lit("` |\n"))), ""))).otherwise("")
+    place = F.row_number().over(Window.partitionBy("project").orderBy("name")) + 99
+    text = F.concat(F.lit("# "), "name", F.lit("\n\nTable: `"), "tableName", F.lit("`\n\n"), columns, relations)
+    return entities.select("project", F.concat(F.lit("entities/"), T.to_kebab(F.col("name")), F.lit(".md")).alias("path"), F.col("name").alias("title"), place.alias("position"), text.alias("content"))
+
+
+def head_tags(title: Column, meta: Column) -> Column:
+    """The tags of a page's head out of its settings, with the fallbacks of the social ones."""
+    of = lambda *keys: F.coalesce(*[F.nullif(F.try_element_at(meta, F.lit(k)), F.lit("")) for k in keys])
+    tag = lambda kind, key, value: F.concat(F.lit(f'<meta {kind}="{key}" content="'), T.escape_html(value), F.lit('" />'))
+    og_title = F.coalesce(of("og_title"), title)
+    card = of("twitter_card", "og_image").isNotNull()
+    return F.concat_ws(
+        "\n    ", F.concat(F.lit("<title>"), T.escape_html(title), F.lit("</title>")), tag("name", "description", of("description")), tag("name", "keywords", of("tags")), F.concat(F.lit('<link rel="canonical" href="'), T.escape_html(of("canonical")), F.lit('" />')), tag("name", "robots", of("robots")),
+        tag("property", "og:title", og_title), tag("property", "og:description", of("og_description", "description")), tag("property", "og:image", of("og_image")), tag("property", "og:type", F.coalesce(of("og_type"), F.lit("article"))),
+        F.when(card, tag("name", "twitter:card", F.coalesce(of("twitter_card"), F.lit("summary")))), F.when(card, tag("name", "twitter:title", F.coalesce(of("twitter_title"), og_title))), F.when(card, tag("name", "twitter:description", of("twitter_description", "og_description", "description"))), F.when(card, tag("name", "twitter:image", of("twitter_image", "og_image"))),
+    )

@@ -237,3 +237,24 @@ def release_notes(changes: DataFrame) -> DataFrame:
     lists = changes.withColumn("line", line).groupBy(*AT).agg(*[F.array_sort(F.collect_list(F.when(F.col("type") == t, F.col("line")))).alias(t) for t, _ in TITLES])
     part = lambda t, title: F.when(F.size(t) > 0, F.concat(F.lit(f"### {title}\n\n"), F.array_join(t, "\n"), F.lit("\n\n")))
     return lists.select(*AT, F.concat(F.lit("## ["), F.col("snapshot_no").cast("string"), F.lit("]\n\n"), F.concat_ws("", *[part(t, title) for t, title in TITLES])).alias("note"))
+
+
+#: Marks of states in reports. Fixed values.
+ICONS = {"added": "+", "removed": "-", "modified": "~"}
+
+
+def report(endpoints: DataFrame) -> DataFrame:
+    """(project, snapshot_no, report): a Markdown report per version out of compared endpoints, by id; as large as its list of changes."""
+    icon = lambda c: F.when(c == "added", ICONS["added"]).when(c == "removed", ICONS["removed"]).otherwise(ICONS["modified"])
+    text = lambda c: F.coalesce(c, F.lit("undefined"))
+    changed = F.col("status") == "modified"
+    lines = F.transform(F.array_sort("params"), lambda p: F.concat(F.lit("  - "), icon(p["status"]), F.lit(" `"), text(p["name"]), F.lit("`: "), F.coalesce(p["prev_type"], F.lit("n/a")), F.lit(" → "), F.coalesce(p["curr_type"], F.lit("n/a"))))
+    part = F.concat(
+        F.lit("### "), icon(F.col("status")), F.lit(" "), F.coalesce("new.httpMethod", "old.httpMethod", F.lit("")), F.lit(" "), F.coalesce("new.path", "old.path", "new.name", "old.name", F.lit("")), F.lit("\n"),
+        F.when(changed & differs(F.col("old.returnType"), F.col("new.returnType")), F.concat(F.lit("\n- Return type: `"), text(F.col("old.returnType")), F.lit("` → `"), text(F.col("new.returnType")), F.lit("`"))).otherwise(""),
+        F.when(changed & differs(F.col("old.auth"), F.col("new.auth")), "\n- Auth requirement changed").otherwise(""), F.when(F.size("params") > 0, F.concat(F.lit("\n- Parameters:\n"), F.array_join(lines, "\n"))).otherwise(""),
+    )
+    rows = endpoints.where("status <> 'unchanged'").select(*AT, "id", "status", part.alias("part"))
+    lists = rows.groupBy(*AT).agg(F.array_sort(F.collect_list(F.struct("id", "part"))).alias("l"), *[F.count_if(F.col("status") == s).cast("string").alias(s) for s in ICONS])
+    head = F.concat(F.lit("# API Changes: "), F.col("snapshot_no").cast("string"), F.lit("\n\n| Added | Removed | Modified |\n|---|---|---|\n| "), F.concat_ws(" | ", "added", "removed", "modified"), F.lit(" |\n\n"))
+    return lists.select(*AT, F.concat(head, F.array_join(F.transform("l", lambda x: x["part"]), "\n\n")).alias("report"))
