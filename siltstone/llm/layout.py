@@ -46,6 +46,11 @@ def squeeze(code: str) -> str:
     return code.replace(" ", "").replace("\t", "").replace("\r", "")
 
 
+def canonical(squeezed: str) -> list[str]:
+    """The canonical formatting of squeezed code, line by line: one statement or block head to a line, nothing else on it."""
+    return [x for x in PIECE.split(squeezed) if len(x) > 1]
+
+
 def units(squeezed: str) -> list[tuple[int, int]]:
     """Canonical code in pieces that survive reformatting and local changes: (hash, weight in statements).
 
@@ -53,7 +58,7 @@ def units(squeezed: str) -> list[tuple[int, int]]:
     so that an insertion changes only its own piece.
     """
     out, held = [], []
-    for line in PIECE.split(squeezed):
+    for line in canonical(squeezed):
         if len(line) < 4 or line.startswith(HEADERS):
             continue
         held.append(line)
@@ -88,9 +93,9 @@ def features(path: str, text: str, spans: list, code: str, squeezed: str) -> dic
             shapes[x] = shapes.get(x, 0) + 1
             n += 1
     code_lines = sum([x != "" for x in shape.split("\n")])
-    statements = sum([len(x) > 1 for x in PIECE.split(shape)])
     return {
-        "expansion": statements / max(1, code_lines), "blank_share": (code.count(" ") + code.count("\t")) / max(1, len(code)), "data_share": (literal + number_len + commas) / max(1, body), "values": numbers + strings, "body": body,
+        # Lines of the canonical formatting against those of the original.
+        "expansion": len(canonical(shape)) / max(1, code_lines), "blank_share": (code.count(" ") + code.count("\t")) / max(1, len(code)), "data_share": (literal + number_len + commas) / max(1, body), "values": numbers + strings, "body": body,
         "uniformity": 1 - len(shapes) / n if n else 0.0, "shapes": len(shapes), "n": n, "calls": sum([c for x, c in shapes.items() if "(" in x and "{" in x]) / max(1, n),
         "marked": any(h in comments for h in HINTS) and bool(GENERATED.search(comments)) or "@Generated(" in code,
         "third": any(h in comments for h in ORIGIN_HINTS) and bool(THIRD_PARTY.search(comments)), "vendor_path": bool(VENDOR_PATH.search(path or "")),

@@ -28,7 +28,9 @@ from .stages import lexed_files, run_batches
 LEAST_PROBABILITY = 0.5
 SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\s/\s|\n\s*\n|\s\|\s")
 JOINED = re.compile(r"[\s+.&\\(),]*")
-SCHEMA = "record_id bigint, repo string, chars int, passage_no int, lang string, probability double, letters int, text string"
+#: Runs of letters.
+LETTERS = re.compile(r"[^\W\d_]+")
+SCHEMA = "record_id bigint, repo string, record_letters int, passage_no int, lang string, probability double, letters int, text string"
 
 
 def texts_of(lang: str, text: str, spans: list[tuple[str, int, int]]) -> list[str]:
@@ -115,8 +117,10 @@ def _worker(model: ngram_model.Model, with_text: bool) -> Callable:
                 kept[passage] = found
         return found
 
-    def rows(key: int, repo: str | None, chars: int, texts: list[str]) -> list[tuple]:
-        return [(key, repo, chars, no, lang, p, n, t if with_text else None) for no, t in enumerate(texts) for lang, p, n in labels(t)]
+    def rows(key: int, repo: str | None, whole: str, texts: list[str]) -> list[tuple]:
+        found = [(no, lang, p, n, t if with_text else None) for no, t in enumerate(texts) for lang, p, n in labels(t)]
+        letters = sum(map(len, LETTERS.findall(whole))) if found else 0
+        return [(key, repo, letters, *f) for f in found]
 
     return rows
 
@@ -127,15 +131,15 @@ def model_of(documents: DataFrame, lang_codes: DataFrame) -> ngram_model.Model |
 
 
 def in_files(source_files: DataFrame, model: ngram_model.Model, with_text: bool = True) -> DataFrame:
-    """(record_id, repo, chars, passage_no, lang, probability, letters, text): each passage of a file, once per language in it.
+    """(record_id, repo, record_letters, passage_no, lang, probability, letters, text): each passage of a file, once per language in it.
 
-    ``chars`` is the length of the file; ``passage_no`` counts its comments and
+    ``record_letters`` are all letters of the file, code included; ``passage_no`` counts its comments and
     literals from 0, those that are no passage too.
     """
     rows = _worker(model, with_text)
 
     def work(file_id: int, repo: str, x: lexing.Lexed) -> list[tuple]:
-        return rows(file_id, repo, len(x.text), texts_of(x.lang, x.text, x.spans))
+        return rows(file_id, repo, x.text, texts_of(x.lang, x.text, x.spans))
 
     return lexed_files(source_files, ["file_id", "repo"], work, SCHEMA)
 
@@ -144,11 +148,11 @@ def in_endpoints(endpoints: DataFrame, model: ngram_model.Model, with_text: bool
     """The same for the descriptions of endpoints."""
     rows = _worker(model, with_text)
     described = endpoints.where("description is not null").select("row_id", "project", "description")
-    return run_batches(described, lambda i, repo, t: rows(i, repo, len(t), [t]), SCHEMA)
+    return run_batches(described, lambda i, repo, t: rows(i, repo, t, [t]), SCHEMA)
 
 
 def passages(source_files: DataFrame, endpoints: DataFrame, documents: DataFrame, lang_codes: DataFrame, with_text: bool = True) -> DataFrame:
-    """(record, record_id, repo, chars, passage_no, lang, probability, letters, text) of files and endpoints; ``text`` null without ``with_text``."""
+    """(record, record_id, repo, record_letters, passage_no, lang, probability, letters, text) of files and endpoints; ``text`` null without ``with_text``."""
     model = model_of(documents, lang_codes)
     if model is None:
         return source_files.sparkSession.createDataFrame([], "record string, " + SCHEMA)
@@ -162,6 +166,6 @@ def found(passages: DataFrame) -> DataFrame:
 
 
 def record_shares(passages: DataFrame) -> DataFrame:
-    """(record, record_id, repo, lang, passages, letters, share): letters of each language, and their share of the record's characters."""
-    per = passages.groupBy("record", "record_id", "repo", "lang").agg(F.count("*").alias("passages"), F.sum("letters").alias("letters"), F.max("chars").alias("chars"))
-    return per.select("record", "record_id", "repo", "lang", "passages", "letters", (F.col("letters") / F.greatest(F.lit(1), "chars")).alias("share"))
+    """(record, record_id, repo, lang, passages, letters, share): letters of each language, and their share of all letters of the record."""
+    per = passages.groupBy("record", "record_id", "repo", "lang").agg(F.count("*").alias("passages"), F.sum("letters").alias("letters"), F.max("record_letters").alias("all"))
+    return per.select("record", "record_id", "repo", "lang", "passages", "letters", F.least(F.lit(1.0), F.col("letters") / F.greatest(F.lit(1), "all")).alias("share"))

@@ -173,7 +173,7 @@ def test_every_passage_has_a_row_and_files_have_shares(spark):
     assert got[2][3] == "dieser Schritt liest nur die Liste noch einmal"
     shares = {(r["record"], r["lang"]): (r["passages"], r["letters"], r["share"]) for r in passages.record_shares(rows).collect()}
     letters = sum(c.isalpha() for c in "der Dienst speichert die Zeilen der Tabelle dieser Schritt liest nur die Liste noch einmal")
-    assert shares[("file", "de")] == (2, letters, letters / len(text))
+    assert shares[("file", "de")] == (2, letters, letters / sum(c.isalpha() for c in text))
     assert sorted(tuple(r) for r in passages.found(rows).collect()) == [("endpoint", 7, "de"), ("file", 1, "de")]
 
 
@@ -207,3 +207,30 @@ def test_functions_carry_their_code(spark):
     types = spark.createDataFrame([(4, "r", "a.ts", "interface", "User", "Someone who may sign in here.", [("id", "string", True, None)])], "type_id bigint, repo string, filePath string, kind string, name string, description string, fields array<struct<name:string,type:string,required:boolean,description:string>>")
     rows = sorted((r["record"], r["record_id"], r["name"], r["code"], r["doc"]) for r in pairs.pairs(files, types).collect())
     assert rows == [("function", 1, "total", js.split("\n", 1)[1].rstrip(), "Sums the rows of the given table."), ("type", 4, "User", "interface User {\n  id: string;\n}", "Someone who may sign in here.")]
+
+
+def test_sources_end_within_a_document_of_their_budget(spark):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from siltstone.llm import labelled, sizes
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        return
+    docs, targets, codes = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "mix_targets", "lang_codes"))
+    wanted = {r["source"]: (r["target_share"], r["max_repeats"]) for r in targets.collect()}
+    plain = docs.select("doc_id", F.lower(F.trim("source")).alias("source"), F.coalesce(labelled.code_of(F.col("lang"), labelled.names_of(codes)), F.lit("und")).alias("lang"), "text")
+    sized = sizes.with_tokens(plain, "doc_id", "text", {"source": "string", "lang": "string"}).where("tokens > 0").collect()
+    sized = [r for r in sized if r["source"] in wanted]
+    leaves = {}
+    for r in sized:
+        leaves[r["source"], r["lang"]] = leaves.get((r["source"], r["lang"]), 0) + r["tokens"]
+    budget = mixing.budgets([(s, c, n) for (s, c), n in leaves.items()], wanted, sum(leaves.values()), mixing.DOMAINS)
+    rows = mixing.mix(docs, targets, codes).collect()
+    assert all(r["copies"] <= wanted[r["source"]][1] for r in rows)
+    for s in wanted:
+        got = sum(r["tokens"] * r["copies"] for r in rows if r["source"] == s)
+        largest = max((r["tokens"] for r in sized if r["source"] == s), default=0)
+        assert abs(got - sum(b for (x, _), b in budget.items() if x == s)) <= largest + 1, s
