@@ -234,3 +234,12 @@ def test_sources_end_within_a_document_of_their_budget(spark):
         got = sum(r["tokens"] * r["copies"] for r in rows if r["source"] == s)
         largest = max((r["tokens"] for r in sized if r["source"] == s), default=0)
         assert abs(got - sum(b for (x, _), b in budget.items() if x == s)) <= largest + 1, s
+
+
+def test_static_functions_of_c_and_records_of_java():
+    doc = "/** Sums the rows of the given table. */\n"
+    c = f"static struct row rows[9];\n{doc}static int total_rows(const struct row *r, int n) {{\n  return sum(r);\n}}\n{doc}unsigned long *\nlast_row(void)\n{{\n}}\nint none(void);\n"
+    java = f"interface M {{\n{doc}record Row(Map<String, Long> a, int b) {{}}\n{doc}default int total(int a) {{ return a; }}\n}}\n"
+    for lang, text, want in (("c", c, [("total_rows", True), ("last_row", True), ("none", False)]), ("java", java, [("total", True)])):
+        spans, _ = lexing.lex(lang, text)
+        assert [(f["name"], f["body"]) for f in functions.extract(lang, text, spans)] == want
