@@ -213,3 +213,19 @@ def props_of(types: DataFrame) -> DataFrame:
     props = names.select("project", F.col("component").alias("props"), F.explode(F.array(F.struct(F.lit(0).alias("order"), F.lit("Props").alias("end")), F.struct(F.lit(1).alias("order"), F.lit("Property").alias("end")))).alias("e"))
     props = props.where(F.endswith("props", F.col("e.end"))).select("project", "props", "e.order", F.expr("substr(props, 1, length(props) - length(e.end))").alias("component"))
     return names.join(props, ["project", "component"]).groupBy("project", "component").agg(F.min_by("props", "order").alias("props"))
+
+
+def common_folder(paths: DataFrame, group: str = "repo", path: str = "path") -> DataFrame:
+    """(group, folder): the longest folder that all paths of a group share; that of its smallest and its largest path, so that only these two leave each task."""
+    ends = paths.where(F.col(path).isNotNull()).groupBy(group).agg(F.split(F.min(path), "/").alias("a"), F.split(F.max(path), "/").alias("b"))
+    least = F.least(F.size("a"), F.size("b")) - 1
+    same = F.filter(F.sequence(F.lit(0), F.greatest(least, F.lit(0))), lambda n: (n <= least) & (F.slice("a", 1, n) == F.slice("b", 1, n)))
+    return ends.select(group, F.array_join(F.slice("a", 1, F.array_max(same)), "/").alias("folder"))
+
+
+def merged_fields(types: DataFrame, group: str = "repo") -> DataFrame:
+    """(group, name, field, type, place): of types of one name the first by ``type_id``, then the fields that later ones have besides."""
+    rows = types.where("name is not null").select(group, "name", "type_id", F.posexplode("fields").alias("i", "f"))
+    first = rows.where("f.name is not null").groupBy(group, "name", F.col("f.name").alias("field")).agg(F.min_by("f.type", F.struct("type_id", "i")).alias("type"), F.min(F.struct("type_id", "i")).alias("at"))
+    place = F.row_number().over(Window.partitionBy(group, "name").orderBy("at"))
+    return first.select(group, "name", "field", "type", place.alias("place"))

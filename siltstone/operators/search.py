@@ -254,3 +254,10 @@ def related(docs: DataFrame, asked: Column, key: str = "doc_id", text: str = "te
     q = unit.where(asked).select(F.col(key).alias("query"), "term", F.col("w").alias("qw"))
     dots = unit.join(q, "term").groupBy("query", key).agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
     return best(dots, key, limit)
+
+
+def reranked(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(query, key, score): hits with a score by their rank alone: 1 for the first, going down in equal steps."""
+    by = Window.partitionBy("query")
+    place = F.row_number().over(by.orderBy(F.desc("score"), key)) - 1
+    return found.select("query", key, F.round(1 - place / F.count("*").over(by), 6).alias("score"))

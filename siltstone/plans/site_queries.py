@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import collections, graph, pages, versions
+from ..operators import collections, graph, pages, search, versions
 from ..tables import read
 from .base import Book
 from .graph_queries import BASE, CODE, SAFE, TOP, _flat, last
 from .page_queries import ESC, KEBAB, META, NL
+from .search_queries import LEXICAL, titled
 from .version_queries import BASE as VERSIONS
 from .version_queries import END, ENDPOINTS, _compared
 
@@ -162,3 +163,57 @@ def cache_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumns({"first": F.min("file_id").over(by), "last": F.max("file_id").over(by)})
     prints = rows.groupBy("repo").agg(F.count("*").alias("files"), F.sum("n").alias("n"), F.bit_xor(F.when(F.col("file_id") == F.col("first"), F.col("mark"))).alias("a"), F.bit_xor(F.when(F.col("file_id") == F.col("last"), F.col("mark"))).alias("b"))
     return prints.select("repo", "files", F.format_string("%.2f", F.round(F.col("n") / 1024.0, 2)).alias("kb"), (F.col("a") == F.col("b")).alias("hit"))
+
+
+@BOOK.query(
+    """with e as (select repo, string_split(min(path), '/') as a, string_split(max(path), '/') as b from source_files where path is not null group by repo),
+n as (select repo, a, list_max(list_filter(range(0, greatest(least(len(a), len(b)), 1)), lambda n: n < least(len(a), len(b)) and a[1:n] = b[1:n])) as n from e)
+select repo, coalesce(list_aggregate(a[1:n], 'string_agg', '/'), '') as folder from n"""
+)
+def arch_common_folder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folder that all files of a repository share."""
+    return graph.common_folder(read(spark, sf_dir, "source_files"))
+
+
+@BOOK.query(
+    BASE + """select project, count(*) > 0 as endpoints, bool_or(serviceRef is not null) as entities, bool_or(handlerClass is not null) as services, bool_or(coalesce(auth, false)) as auth, project in (select repo from type_infos where repo is not null) as components,
+project in (select project from change_entries where project is not null) as changelog from held group by project"""
+)
+def arch_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which sections a project's site has, by what there is."""
+    flat = _flat(last(spark, sf_dir))
+    some = lambda c: F.max(F.col(c).isNotNull())
+    counts = flat.groupBy("project").agg((F.count("*") > 0).alias("endpoints"), some("serviceRef").alias("entities"), some("handlerClass").alias("services"), F.max(F.coalesce("auth", F.lit(False))).alias("auth"))
+    known = lambda table, c, name: read(spark, sf_dir, table).where(f"{c} is not null").select(F.col(c).alias("project"), F.lit(True).alias(name)).distinct()
+    out = counts.join(known("type_infos", "repo", "components"), "project", "left").join(known("change_entries", "project", "changelog"), "project", "left")
+    return out.fillna(False, ["components", "changelog"])
+
+
+@BOOK.query("select repo, bool_or(name like '%Context') as context, bool_or(name like '%Store' or name like '%State') as store, bool_or(regexp_matches(name, '^use[A-Z]')) as hooks from type_infos where name is not null group by repo")
+def arch_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How a repository keeps state, by the names of its types."""
+    name = F.col("name")
+    types = read(spark, sf_dir, "type_infos").where("name is not null")
+    return types.groupBy("repo").agg(F.max(name.endswith("Context")).alias("context"), F.max(name.endswith("Store") | name.endswith("State")).alias("store"), F.max(name.rlike("^use[A-Z]")).alias("hooks"))
+
+
+@BOOK.query(
+    """with f as (select repo, name, type_id, x.name as field, x.type as type, i from (select repo, name, type_id, unnest(fields) as x, generate_subscripts(fields, 1) as i from type_infos where name is not null) where x.name is not null),
+m as (select repo, name, field, type, type_id, i from f qualify row_number() over (partition by repo, name, field order by type_id, i) = 1)
+select repo, name, field, type, (row_number() over (partition by repo, name order by type_id, i))::int as place from m"""
+)
+def type_fields_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of types of one name as one type."""
+    return graph.merged_fields(read(spark, sf_dir, "type_infos"))
+
+
+@BOOK.query(
+    LEXICAL + """, h as (select query, doc_id, round(0.7 * coalesce(lexical, 0) + 0.3 * coalesce(boost, 0), 6) as score from boost full join lex using (query, doc_id)),
+b as (select query, doc_id, score from h where score >= 0.1 qualify row_number() over (partition by query order by score desc, doc_id) <= 10)
+select query, doc_id, round(1 - (row_number() over (partition by query order by score desc, doc_id) - 1) / (count(*) over (partition by query))::double, 6) as score from b"""
+)
+def search_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of each query with a score by rank."""
+    docs = titled(spark, sf_dir)
+    asked = docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query"), F.col("title").alias("text"))
+    return search.reranked(search.hybrid(docs, asked))
