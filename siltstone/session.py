@@ -50,3 +50,12 @@ def small_side(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """``df`` marked for broadcast where Catalyst's estimate of its size allows it; else left to a shuffled join."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
     return F.broadcast(df) if size <= most_bytes else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where it comes in fewer partitions than there are: small compressed files of texts on which much work is done a row.
+
+    A table of more partitions than cores is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
