@@ -20,6 +20,8 @@ OTHER_CODES = {"eng": "en", "kor": "ko", "jpn": "ja", "zho": "zh", "chi": "zh",
 #: Labelled documents per language that the models are fitted on.
 PER_LANG = 150
 LINES_PER_DOC = 12
+#: Characters of a document of the sample that its lines are taken from.
+CHARS_PER_DOC = 20_000
 
 
 def names_of(lang_codes: DataFrame) -> dict[str, str]:
@@ -92,5 +94,5 @@ def sample(documents: DataFrame, lang_codes: DataFrame, per_lang: int = PER_LANG
     counts = {r["code"]: r["count"] for r in docs.groupBy("code").count().collect()}
     share = F.create_map(*[F.lit(x) for c, n in counts.items() for x in (c, min(1.0, per_lang / n))]) if counts else F.create_map(F.lit(""), F.lit(0.0))
     drawn = docs.where(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_003)) < share[F.col("code")] * 1_000_003)
-    rows = drawn.select("code", F.substring("text", 1, 20000).alias("text")).limit(2 * per_lang * max(1, len(counts))).collect()
+    rows = drawn.select("code", F.substring("text", 1, CHARS_PER_DOC).alias("text")).limit(2 * per_lang * max(1, len(counts))).collect()
     return [(line, r["code"]) for r in rows for line in prose_lines(r["text"])[:LINES_PER_DOC] if prose.is_passage(line)]

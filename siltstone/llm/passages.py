@@ -21,6 +21,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import labelled, lexing, ngram_model, prose, secrets
 from .stages import lexed_files, run_batches
 
@@ -147,7 +148,7 @@ def in_files(source_files: DataFrame, model: ngram_model.Model, with_text: bool
 def in_endpoints(endpoints: DataFrame, model: ngram_model.Model, with_text: bool = True) -> DataFrame:
     """The same for the descriptions of endpoints."""
     rows = _worker(model, with_text)
-    described = endpoints.where("description is not null").select("row_id", "project", "description")
+    described = spread(endpoints.where("description is not null").select("row_id", "project", "description"))
     return run_batches(described, lambda i, repo, t: rows(i, repo, t, [t]), SCHEMA)
 
 

@@ -21,6 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import labelled, prose
 from .stages import run_blocks
 
@@ -262,7 +263,7 @@ def labels(documents: DataFrame, lang_codes: DataFrame) -> DataFrame:
         return out + block(part)
 
     code = labelled.code_of(F.col("lang"), labelled.names_of(lang_codes))
-    return run_blocks(documents.where("text is not null").select("doc_id", code.alias("label"), "text"), work, SCHEMA)
+    return run_blocks(spread(documents.where("text is not null").select("doc_id", code.alias("label"), "text")), work, SCHEMA)
 
 
 def found(documents: DataFrame, lang_codes: DataFrame) -> DataFrame:

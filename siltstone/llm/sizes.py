@@ -7,6 +7,7 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
+from ..session import spread
 from .stages import run_batches
 
 #: Ranks of the tokenizer; a path that every executor can read.
@@ -29,4 +30,4 @@ def with_tokens(docs: DataFrame, key: str, text: str, more: dict[str, str] | Non
     more = more or {}
     work = lambda k, t, *rest: [(k, *rest, len(encoding(tokenizer).encode_ordinary(t)))]
     schema = ", ".join([f"{key} bigint", *(f"{c} {t}" for c, t in more.items()), "tokens bigint"])
-    return run_batches(docs.where(f"{text} is not null").select(key, text, *more), work, schema)
+    return run_batches(spread(docs.where(f"{text} is not null").select(key, text, *more)), work, schema)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import cut
+from ..session import cut, spread
 from . import lexing
 
 SPANS = "array<struct<k:string,a:int,b:int>>"
@@ -168,7 +168,7 @@ def lexed_files(
             rows = [r for values in zip(*[c.to_pylist() for c in batch.columns], strict=True) for r in one(counter, *values)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], arrow.field(i).type) for i in (0, 1)], schema=arrow)
 
-    done = cut(ordered.mapInArrow(work, f"out {out_type}, part struct<{part_type}>"))
+    done = cut(spread(ordered).mapInArrow(work, f"out {out_type}, part struct<{part_type}>"))
     small = done.where("out is not null").select("out.*")
     big = _huge(done.where("part is not null").select("part.*"), kept, note, note_type, chunk)
     whole = run_batches(big.select("lang", "parts", *[c for c, _ in kept]), lambda lang, parts, *values: fn(*values, _join_parts(lang, parts, chunk, note)), schema)
