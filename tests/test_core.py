@@ -217,3 +217,32 @@ def test_bursts_collapse_on_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sum(seen) == 5
+
+
+def test_domains_props_folders_and_merged_types(spark):
+    eps = spark.createDataFrame([("p", "/orders/a", None), ("p", "/orders/b", None), ("p", None, "me"), ("p", None, None), (None, "/x", None)], "project string, path string, fieldName string")
+    ents = spark.createDataFrame([("p", "Order"), ("p", "Zebra"), ("p", "Zebra")], "project string, name string")
+    got = {(r["domain"], r["endpoints"], r["entities"]) for r in graph.domains(eps, ents).collect()}
+    assert got == {("Orders", 2, 1), ("Other", 2, 1)}
+    types = spark.createDataFrame([("p", "Card"), ("p", "CardProperty"), ("p", "CardProps"), ("p", "Box"), ("q", "BoxProps"), (None, None)], "project string, name string")
+    assert [tuple(r) for r in graph.props_of(types).collect()] == [("p", "Card", "CardProps")]
+    paths = spark.createDataFrame([("r", "src/a/x.ts"), ("r", "src/a/b/y.ts"), ("s", "x.ts"), ("t", None)], "repo string, path string")
+    assert {tuple(r) for r in graph.common_folder(paths).collect()} == {("r", "src/a"), ("s", "")}
+    field = "array<struct<name:string,type:string>>"
+    rows = spark.createDataFrame([(2, "r", "T", [("a", "late"), ("c", "x")]), (1, "r", "T", [("a", "first"), ("b", None)]), (3, "r", "T", None), (4, "r", None, [("z", "z")])], f"type_id bigint, repo string, name string, fields {field}")
+    assert [(r["field"], r["type"], r["place"]) for r in graph.merged_fields(rows).orderBy("place").collect()] == [("a", "first", 1), ("b", None, 2), ("c", "x", 3)]
+
+
+def test_reports_ranks_and_heads(spark, endpoints):
+    text = versions.report(versions.compare_endpoints(endpoints)).collect()[0]["report"]
+    assert text.startswith("# API Changes: 3\n\n| Added | Removed | Modified |\n|---|---|---|\n| 1 | 1 | 1 |\n\n### ~ GET /a\n\n- Return type: `User` → `User[]`\n- Parameters:\n  - ~ `q`: string → string\n  - + `z`: n/a → int")
+    hits = spark.createDataFrame([(7, 1, 0.9), (7, 2, 0.9), (8, 3, 0.2)], "query bigint, doc_id bigint, score double")
+    assert sorted(tuple(r) for r in search.reranked(hits).collect()) == [(7, 1, 1.0), (7, 2, 0.5), (8, 3, 1.0)]
+    few = search.with_fallback(hits.where("query = 8"), spark.createDataFrame([(8, 3, 0.9), (8, 4, 0.5), (8, 5, 0.3)], "query bigint, doc_id bigint, score double"))
+    assert [tuple(r) for r in few.orderBy(F.desc("score")).collect()] == [(8, 4, 0.5), (8, 3, 0.2)]
+    meta = spark.createDataFrame([("A & B", {"description": 'x "y"', "og_image": "i.png"}), ("C", None)], "title string, meta map<string,string>")
+    one, two = (r[0] for r in meta.select(pages.head_tags(F.col("title"), F.col("meta"))).collect())
+    assert "<title>A &amp; B</title>" in one and 'name="twitter:card" content="summary"' in one and 'content="x &quot;y&quot;"' in one and two.count("\n") == 2
+    flat = endpoints.where("snapshot_no = 3").withColumn("id", F.col("path"))
+    code = graph.sequence_diagram(flat).collect()[0]["code"]
+    assert code.splitlines()[:4] == ["sequenceDiagram", "    participant Client", "    participant C", "    participant UserService"] and "    C-->>-Client: 200 OK" in code
