@@ -40,3 +40,10 @@ def test_hybrid_makes_no_rows_of_words_or_pairs(spark):
     found = plan(search.hybrid(docs, asked(docs)))
     assert "MapInArrow" in found and "Generate" not in found and "Join" not in found
     assert found.count("Exchange hashpartitioning") <= 1
+
+
+def test_related_documents_by_title_make_no_rows_of_pairs(spark):
+    docs = documents(spark)
+    df = search.hybrid(docs, asked(docs), limit=6, threshold=0.05).where("query <> doc_id")
+    counts = {r["query"]: r["count"] for r in df.groupBy("query").count().collect()}
+    assert "Join" not in plan(df) and set(counts) == {10, 20, 30, 40} and set(counts.values()) <= {5, 6}
