@@ -47,3 +47,9 @@ def test_related_documents_by_title_make_no_rows_of_pairs(spark):
     df = search.hybrid(docs, asked(docs), limit=6, threshold=0.05).where("query <> doc_id")
     counts = {r["query"]: r["count"] for r in df.groupBy("query").count().collect()}
     assert "Join" not in plan(df) and set(counts) == {10, 20, 30, 40} and set(counts.values()) <= {5, 6}
+
+
+def test_reranked_hits_make_no_rows_of_pairs(spark):
+    docs = documents(spark)
+    df = search.reranked(search.hybrid(docs, asked(docs)))
+    assert "Join" not in plan(df) and df.where("score = 1").count() == 4
