@@ -53,3 +53,17 @@ def test_reranked_hits_make_no_rows_of_pairs(spark):
     docs = documents(spark)
     df = search.reranked(search.hybrid(docs, asked(docs)))
     assert "Join" not in plan(df) and df.where("score = 1").count() == 4
+
+
+def test_filtered_documents_make_no_rows_of_pairs(spark):
+    docs = documents(spark)
+    df = search.hybrid(docs, asked(docs), only=F.col("doc_id") > 20)
+    assert "Join" not in plan(df) and df.agg(F.min("doc_id")).collect()[0][0] > 20
+
+
+def test_repeated_keys_are_one_document(spark):
+    docs = spark.createDataFrame([(1, "Order", "pages"), (1, "Order", "pages"), (2, "Region", "pages"), (None, "Order", "pages")], "doc_id bigint, title string, content string")
+    got = [tuple(r) for r in search.hybrid(docs, spark.createDataFrame([(7, "order")], "query bigint, text string")).collect()]
+    idf = lambda df: np.log(5 / (df + 1)) + 1
+    want = round(0.7 * idf(2) / np.hypot(idf(2), idf(3)) + 0.3, 6)  # three keys, null too, of four rows
+    assert got == [(7, 1, want), (7, 1, want)]
