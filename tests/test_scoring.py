@@ -67,3 +67,20 @@ def test_repeated_keys_are_one_document(spark):
     idf = lambda df: np.log(5 / (df + 1)) + 1
     want = round(0.7 * idf(2) / np.hypot(idf(2), idf(3)) + 0.3, 6)  # three keys, null too, of four rows
     assert got == [(7, 1, want), (7, 1, want)]
+
+
+def test_vectors_join_no_pairs(spark):
+    docs = documents(spark)
+    vectors = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(30, 60)], "doc_id bigint, embedding array<double>")
+    q = vectors.where("doc_id % 10 = 0").select(F.col("doc_id").alias("query"), "embedding").join(asked(docs).select("query"), "query", "left_semi")
+    df = search.hybrid(docs, asked(docs), vectors, q, limit=80)
+    assert "Generate" not in plan(df) and "SortMergeJoin FullOuter" not in plan(df)
+    # Vectors of no document count by themselves.
+    got = {(r["query"], r["doc_id"]): r["score"] for r in df.collect()}
+    assert got[30, 57] == 0.3 and (10, 57) not in got
+
+
+def test_size_of_a_small_table_is_known(spark):
+    from siltstone.session import small_side
+
+    assert small_side(spark.range(3).select("id")).count() == 3
