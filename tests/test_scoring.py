@@ -84,3 +84,11 @@ def test_size_of_a_small_table_is_known(spark):
     from siltstone.session import small_side
 
     assert small_side(spark.range(3).select("id")).count() == 3
+
+
+def test_related_texts_make_no_rows_of_pairs(spark):
+    docs = documents(spark).select("doc_id", F.col("content").alias("text"))
+    df = search.related(docs, F.col("doc_id") % 10 == 0, limit=3)
+    assert "Generate" not in plan(df) and "Join" not in plan(df)
+    first = {r["query"]: (r["doc_id"], r["score"]) for r in df.collect() if r["score"] == 1.0 and r["doc_id"] % 5 == 0}
+    assert set(first) == {10, 20, 30, 40}
