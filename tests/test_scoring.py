@@ -92,3 +92,13 @@ def test_related_texts_make_no_rows_of_pairs(spark):
     assert "Generate" not in plan(df) and "Join" not in plan(df)
     first = {r["query"]: (r["doc_id"], r["score"]) for r in df.collect() if r["score"] == 1.0 and r["doc_id"] % 5 == 0}
     assert set(first) == {10, 20, 30, 40}
+
+
+def test_titles_meet_without_joins(spark):
+    docs = documents(spark)
+    assert "Join" not in plan(search.title_boosts(docs, asked(docs)))
+    titles = spark.createDataFrame([(1, "Where rows go"), (2, "rows rows"), (3, "Where")], "doc_id bigint, title string")
+    # "ere" is a part of a word that says nothing: only the whole query shows it.
+    queries = spark.createDataFrame([(7, "ere rows"), (8, "row row x1"), (9, "ere")], "query bigint, text string")
+    got = {(r["query"], r["doc_id"]): round(r["boost"], 6) for r in search.title_boosts(titles, queries).collect()}
+    assert got == {(7, 1): 1.0, (7, 2): 0.5, (8, 1): 0.666667, (8, 2): 0.666667, (9, 1): 1.0}
