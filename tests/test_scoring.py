@@ -102,3 +102,10 @@ def test_titles_meet_without_joins(spark):
     queries = spark.createDataFrame([(7, "ere rows"), (8, "row row x1"), (9, "ere")], "query bigint, text string")
     got = {(r["query"], r["doc_id"]): round(r["boost"], 6) for r in search.title_boosts(titles, queries).collect()}
     assert got == {(7, 1): 1.0, (7, 2): 0.5, (8, 1): 0.666667, (8, 2): 0.666667, (9, 1): 1.0}
+
+
+def test_hits_are_found_once_before_they_are_filled_up(spark):
+    docs = documents(spark)
+    near = spark.createDataFrame([(10, 3, 0.9), (10, 4, 0.2)], "query bigint, doc_id bigint, score double")
+    df = search.with_fallback(search.hybrid(docs, asked(docs), threshold=0.99), near)
+    assert "MapInArrow" not in plan(df) and (10, 3, 0.9) in {tuple(r) for r in df.collect()}
