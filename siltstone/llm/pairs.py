@@ -56,7 +56,7 @@ def symbols(source_files: DataFrame, with_code: bool = False) -> DataFrame:
 
 
 def documented(found: DataFrame) -> DataFrame:
-    """Definitions with worthwhile documentation: (file_id, repo, path, owner, name, signature, from, to, code, doc, doc_from).
+    """Definitions with worthwhile documentation: (file_id, repo, path, owner, name, signature, from, to, code, doc, doc_from); from, to and code where ``found`` has them.
 
     ``doc_from`` is 'own', or 'declaration' where only a separate declaration
     of the same signature is documented; of several such the first by text.
@@ -65,7 +65,8 @@ def documented(found: DataFrame) -> DataFrame:
     declared = found.where("not body and doc is not null").groupBy(*at).agg(F.min("doc").alias("declared"))
     joined = found.where("body").join(declared, at, "left")
     doc_from = F.when(F.col("doc").isNotNull(), "own").otherwise("declaration")
-    return joined.where("doc is not null or declared is not null").select("file_id", "repo", "path", "owner", "name", "signature", "from", "to", "code", F.coalesce("doc", "declared").alias("doc"), doc_from.alias("doc_from"))
+    place = [c for c in ("from", "to", "code") if c in found.columns]
+    return joined.where("doc is not null or declared is not null").select("file_id", "repo", "path", "owner", "name", "signature", *place, F.coalesce("doc", "declared").alias("doc"), doc_from.alias("doc_from"))
 
 
 def documented_types(type_infos: DataFrame) -> DataFrame:
@@ -95,8 +96,11 @@ def pairs(source_files: DataFrame, type_infos: DataFrame) -> DataFrame:
 
 
 def found(source_files: DataFrame, endpoints: DataFrame, type_infos: DataFrame) -> DataFrame:
-    """(record, record_id, owner, name): documented functions, those that handle an endpoint once more, and types."""
-    own = cut(symbols(source_files).where("body and doc is not null").select("file_id", "repo", "path", "owner", "name").distinct())
+    """(record, record_id, owner, name): documented functions, be it by a separate declaration, those that handle an endpoint once more, and types."""
+    # Of the documentation only whether there is any goes on.
+    table = symbols(source_files).select("file_id", "repo", "path", "owner", "name", "signature", "body", F.when(F.col("doc").isNotNull(), "").alias("doc"))
+    # Declarations without documentation say nothing of a definition.
+    own = cut(documented(cut(table.where("body or doc is not null"))).select("file_id", "repo", "path", "owner", "name").distinct())
     handlers = endpoints.select(F.col("project").alias("repo"), F.col("filePath").alias("path"), "handler").where("handler is not null").distinct()
     handled = own.withColumn("handler", F.concat("owner", F.lit("."), "name")).join(handlers, ["repo", "path", "handler"], "left_semi")
     rows = lambda df, record, key, owner: df.select(F.lit(record).alias("record"), F.col(key).alias("record_id"), owner.alias("owner"), "name")

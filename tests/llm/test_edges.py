@@ -81,6 +81,16 @@ def test_declarations_document_their_definitions(spark):
     assert got == [(2, "total", "declaration")]
 
 
+def test_found_takes_documented_declarations(spark):
+    head = "/** Sums the rows of the given table. */\nint total(const int *rows, int n);\n/** Sums the rows of another table. */\nint other(long n);\nint both(int n);\n"
+    code = "int total(const int *rows, int n) {\n  return n;\n}\n\nint other(int n) {\n  return n;\n}\n\n/** Counts the rows of both tables. */\nint both(int n) {\n  return n;\n}\n"
+    files = spark.createDataFrame([(1, "r", "a.h", head), (2, "r", "a.c", code), (3, None, "b.c", code)], "file_id bigint, repo string, path string, content string")
+    types = spark.createDataFrame([], "type_id bigint, repo string, filePath string, name string, kind string, description string, fields array<struct<name:string,type:string,required:boolean,description:string>>")
+    ends = spark.createDataFrame([("r", "a.c", ".total")], "project string, filePath string, handler string")
+    got = sorted(tuple(r) for r in pairs.found(files, ends, types).collect())
+    assert got == [("function", 2, "", "both"), ("function", 2, "", "total"), ("function", 3, "", "both"), ("handler", 2, "", "total")]
+
+
 def test_containers(spark, docs):
     kinds = spark.createDataFrame([("small", 16, "x"), ("none", None, None), ("zero", 0, None)], "container_kind string, capacity_tokens int, size string")
     rows = packing.pack_documents(docs, kinds).collect()
