@@ -49,6 +49,19 @@ def test_related_documents_by_title_make_no_rows_of_pairs(spark):
     assert "Join" not in plan(df) and set(counts) == {10, 20, 30, 40} and set(counts.values()) <= {5, 6}
 
 
+def test_only_repeated_keys_are_gathered(spark, monkeypatch):
+    docs = documents(spark).unionByName(documents(spark).where("doc_id = 7")).unionByName(documents(spark).where("doc_id < 3").withColumn("doc_id", F.lit(None).cast("bigint")))
+    texts = docs.select("doc_id", "title", F.concat_ws(" ", "title", "content").alias("text"))
+    got, _ = scoring.corpus(texts, "doc_id", {"orders"})
+    # Rows of other keys are not shuffled: the one gathering is fed by a join with the repeated keys.
+    found = plan(got)
+    assert found.count("Exchange hashpartitioning") == 1 and "LeftSemi" in found.split("Exchange hashpartitioning")[1] and "SortMergeJoin" not in found
+    assert got.count() == 41 and got.where("doc_id = 7").select("text").distinct().count() == 1
+    few = sorted(tuple(r) for r in search.hybrid(docs, asked(docs), limit=6, threshold=0.05).collect())
+    monkeypatch.setattr(scoring, "MOST_KEYS", 0)
+    assert few == sorted(tuple(r) for r in search.hybrid(docs, asked(docs), limit=6, threshold=0.05).collect())
+
+
 def test_reranked_hits_make_no_rows_of_pairs(spark):
     docs = documents(spark)
     df = search.reranked(search.hybrid(docs, asked(docs)))
