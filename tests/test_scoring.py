@@ -68,6 +68,22 @@ def test_reranked_hits_make_no_rows_of_pairs(spark):
     assert "Join" not in plan(df) and df.where("score = 1").count() == 4
 
 
+def test_shuffles_of_repeated_keys_run_once_a_use(spark):
+    from siltstone.session import spread
+
+    docs = documents(spark).unionByName(documents(spark))
+    texts = docs.groupBy("doc_id").agg(F.concat_ws(" ", F.collect_list("content")).alias("text"))
+    spark.sparkContext.setJobGroup("spread", "plans with shuffles")
+    spread(texts)
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("spread")
+    spark.sparkContext.setJobGroup("", "")
+    # To ask a plan for its partitions runs its shuffles.
+    assert not jobs
+    df = search.reranked(search.hybrid(docs, asked(docs)))
+    assert df.where("score = 1").count() == 4 and "SortMergeJoin" not in plan(df)
+    assert spread(documents(spark).coalesce(1)).rdd.getNumPartitions() == 3
+
+
 def test_filtered_documents_make_no_rows_of_pairs(spark):
     docs = documents(spark)
     df = search.hybrid(docs, asked(docs), only=F.col("doc_id") > 20)
