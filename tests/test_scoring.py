@@ -90,6 +90,16 @@ def test_filtered_documents_make_no_rows_of_pairs(spark):
     assert "Join" not in plan(df) and df.agg(F.min("doc_id")).collect()[0][0] > 20
 
 
+def test_filtered_documents_of_repeated_keys(spark):
+    rows = [(1, "Order", "pages", "guide"), (1, "The of", "lists", "memo"), (2, "and", "orders order", "guide"), (2, "a", "region", "guide"), (3, "Region", "order", "memo"), (4, "Order", "x1", "guide")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, title string, content string, kind string")
+    queries = spark.createDataFrame([(7, "order"), (7, "the")], "query bigint, text string")
+    df = search.hybrid(docs, queries, only=F.col("kind") == "guide")
+    # A title or query without words adds no row; a key is kept with all its rows if one of them is.
+    assert [(r["query"], r["doc_id"]) for r in df.orderBy(F.desc("score")).collect()] == [(7, 4), (7, 1), (7, 2)]
+    assert "SortMergeJoin" not in plan(df)
+
+
 def test_repeated_keys_are_one_document(spark):
     docs = spark.createDataFrame([(1, "Order", "pages"), (1, "Order", "pages"), (2, "Region", "pages"), (None, "Order", "pages")], "doc_id bigint, title string, content string")
     got = [tuple(r) for r in search.hybrid(docs, spark.createDataFrame([(7, "order")], "query bigint, text string")).collect()]
